@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import line_dedup, mixing, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pack_sequences": op2_pack_sequences,
+    "op6_line_dedup": op6_line_dedup,
 }
 
 _DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{k // 4}'), {1 + 8 * (k % 4)}, 8))::BIGINT / 4294967296.0::DOUBLE" for k in range(mixing.SEEDS))
@@ -46,4 +58,14 @@ b AS (SELECT source, s FROM k QUALIFY row_number() OVER (PARTITION BY source ORD
 SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN draws[b.s] < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
 }
