@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing
+from . import html_extract, line_dedup, mixing, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(table(spark, sf_dir, "labels").select("doc_id", "quality"), docs)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archive(spark, folder)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_rank": op7_quality_rank,
+    "op9_html_text": op9_html_text,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 _DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{k // 4}'), {1 + 8 * (k % 4)}, 8))::BIGINT / 4294967296.0::DOUBLE" for k in range(mixing.SEEDS))
