@@ -29,7 +29,7 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of text handled together in a task, members of a block, bytes of shingles in a comparing group.
-BATCH_BYTES, BLOCK, GROUP_BYTES = 2 << 20, 384, 8 << 20
+BATCH_BYTES, BLOCK, GROUP_BYTES = 1 << 20, 384, 8 << 20
 
 _P, _GOLD = 0x9E3779B97F4A7C55, np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
@@ -76,11 +76,12 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     take = take[(count[owner[take]] >= words) | (place[take] == 0)]
     out, n = np.zeros(len(take), np.uint64), len(word)
     for k in range(words):
-        step = np.where(k < width[take], word[np.minimum(take + k, n - 1)], np.uint64(0))
-        out = mix(out * _GOLD + step + np.uint64(k))
-    owner = owner[take]
-    order = np.lexsort((out, owner))
-    out, owner = out[order], owner[order]
+        step = word[np.minimum(take + k, n - 1)]
+        step[width[take] <= k] = k
+        out = out * _GOLD + step
+    out, owner = mix(out), owner[take]
+    for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(owner, np.arange(len(texts) + 1))), strict=True):
+        out[a:b].sort()
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
