@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .minhash import mix, powers
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 16  # a gram is two 8-byte words
 #: Bytes: of text a task reads before it sends anchors, of a segment, of a group's texts, of a shard's contexts.
 BATCH, SEGMENT, GROUP, SHARD = 12 << 20, 4 << 20, 12 << 20, 3 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,11 +54,11 @@ def words8(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw),), "<u8", padded.data, strides=(1,)).copy()
 
 
-def anchors(raw: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last start of each run of strings with one anchor. Strings don't cross ``edges``."""
+def anchors(raw: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first and last start, and place of the anchor, of each run of strings with one anchor. Strings don't cross ``edges``."""
     n = len(raw)
     if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     w = words8(raw)
     full = mix(w[: n - gram + 1] * _A + w[8 : n - gram + 9] * _B)
     low = (full & ~np.uint64(0xFFFFFF)) | np.arange(len(full), dtype=np.uint64)  # ties: leftmost
@@ -78,7 +78,7 @@ def anchors(raw: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int
     new[1:] = (at[1:] != at[:-1]) | (np.diff(starts) > 1)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
-    return full[at[first]], starts[first], starts[last]
+    return full[at[first]], starts[first], starts[last], at[first]
 
 
 def _classify(text: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def _send_anchors(frames: Iterator[pd.DataFrame], buckets: int, length: int, gra
     keys, docs, parts, held = [], [], [], 0
 
     def out() -> pd.DataFrame:
-        mark, row, first, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        mark, row, first, count, off = (np.concatenate([p[i] for p in parts]) for i in range(5))
         bucket = (mark % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -219,17 +219,17 @@ def _send_anchors(frames: Iterator[pd.DataFrame], buckets: int, length: int, gra
         for mine in np.split(order, cuts):
             rows, own = np.unique(row[mine], return_inverse=True)
             h = (mark[mine] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            blobs.append(_pack(np.array(keys)[rows], np.array(docs)[rows], h, own.astype(np.uint32), first[mine].astype(np.int64 if first.max() >> 31 else np.int32), count[mine].astype(np.uint8)))
+            blobs.append(_pack(np.array(keys)[rows], np.array(docs)[rows], h, own.astype(np.uint32), first[mine].astype(np.int64 if first.max() >> 31 else np.int32), count[mine].astype(np.uint8), off[mine].astype(np.uint8)))
         frame = pd.DataFrame({"bucket": bucket[order][np.concatenate([[0], cuts])] if len(order) else [], "blob": blobs if len(order) else []})
         keys.clear(), docs.clear(), parts.clear()
         return frame
 
     def measure(texts: list[tuple[int, int, bytes]]) -> None:
         edges = np.cumsum([0, *(len(t) for *_, t in texts)])
-        mark, first, last = anchors(np.frombuffer(b"".join(t for *_, t in texts), np.uint8), edges, length, gram)
+        mark, first, last, at = anchors(np.frombuffer(b"".join(t for *_, t in texts), np.uint8), edges, length, gram)
         seg = np.searchsorted(edges, first, "right") - 1
         row, base = (np.array([t[i] for t in texts]) for i in range(2))
-        parts.append((mark, row[seg], first - edges[seg] + base[seg], last - first + 1))
+        parts.append((mark, row[seg], first - edges[seg] + base[seg], last - first + 1, at - first))
 
     for frame in frames:
         pending, size = [], 0
@@ -257,14 +257,14 @@ def _send_anchors(frames: Iterator[pd.DataFrame], buckets: int, length: int, gra
 
 def _shared_anchors(mine: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Of a bucket's anchors, those in two documents or more: messages (g, n, blob) of row key, first start, number."""
-    key, doc, mark, first, count = [], [], [], [], []
+    key, doc, mark, first, count, off = [], [], [], [], [], []
     for blob in mine["blob"]:
-        k, d, h, own, f, c = _unpack(blob)
+        k, d, h, own, f, c, o = _unpack(blob)
         wide = np.zeros((len(own), 8), np.uint8)
         wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
         mark.append(wide.view(np.uint64).ravel())
-        key.append(k[own]), doc.append(d[own]), first.append(f.astype(np.int64)), count.append(c)
-    key, doc, mark, first, count = map(np.concatenate, (key, doc, mark, first, count))
+        key.append(k[own]), doc.append(d[own]), first.append(f.astype(np.int64)), count.append(c), off.append(o)
+    key, doc, mark, first, count, off = map(np.concatenate, (key, doc, mark, first, count, off))
     order = np.argsort(mark, kind="stable")
     cuts = np.flatnonzero(np.diff(mark[order], prepend=~mark[order[:1]]))
     many = np.minimum.reduceat(doc[order], cuts) != np.maximum.reduceat(doc[order], cuts)
@@ -272,7 +272,7 @@ def _shared_anchors(mine: pd.DataFrame, groups: int) -> pd.DataFrame:
     g = group_of(key[keep], groups)
     by = np.argsort(g, kind="stable")
     parts = np.split(keep[by], np.flatnonzero(np.diff(g[by])) + 1) if len(keep) else []
-    return pd.DataFrame({"g": [int(group_of(key[p[:1]], groups)[0]) for p in parts], "n": [len(p) for p in parts], "blob": [_pack(key[p], first[p], count[p]) for p in parts]})
+    return pd.DataFrame({"g": [int(group_of(key[p[:1]], groups)[0]) for p in parts], "n": [len(p) for p in parts], "blob": [_pack(key[p], first[p], count[p], off[p]) for p in parts]})
 
 
 def group_of(key: np.ndarray, groups: int) -> np.ndarray:
@@ -284,52 +284,38 @@ def _send_texts(frames: Iterator[pd.DataFrame], groups: int) -> Iterator[pd.Data
         yield pd.DataFrame({"g": group_of(frame["rk"].to_numpy(np.int64), groups), "rk": frame["rk"], "doc_id": frame["doc_id"], "z": [zstandard.compress(t.encode("utf-8", "replace"), 3) for t in frame["text"]]})
 
 
-def _contexts(texts: pd.DataFrame, blobs: list[bytes], length: int) -> tuple[pd.DataFrame, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-    """The group's texts, its distinct contexts numbered, and the row, start and context of each anchor."""
+def _contexts(texts: pd.DataFrame, blobs: list[bytes], length: int) -> tuple[pd.DataFrame, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group's texts, its distinct contexts numbered, and the row, start, context and offset of each anchor."""
     texts = texts.drop_duplicates("rk").sort_values("rk", ignore_index=True)
     texts["raw"] = [zstandard.decompress(z) for z in texts.pop("z")]
     got = [_unpack(b) for b in blobs]
-    key, first, count = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
+    key, first, count, off = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(4))
     order = np.lexsort((first, key))
     row, first, count = np.searchsorted(texts["rk"].to_numpy(), key[order]), first[order], count[order].astype(np.int64)
     raws, known = list(texts["raw"]), {}
     which = np.fromiter((known.setdefault(raws[r][a:b], len(known)) for r, a, b in zip(row.tolist(), first.tolist(), (first + count + length - 1).tolist(), strict=True)), np.int64, len(row))
-    return texts, known, row, first, which
+    return texts, known, row, first, which, off[order]
 
 
 def _ask(key: tuple, texts: pd.DataFrame, asked: pd.DataFrame, shards: int, length: int, gram: int) -> pd.DataFrame:
     """Messages (shard, blob): the group, its contexts' numbers, smallest and largest doc_ids, and bytes."""
     if not len(asked) or not len(texts):
         return pd.DataFrame({"shard": [], "blob": []})
-    texts, known, row, _, which = _contexts(texts, list(asked["blob"]), length)
+    texts, known, row, _, which, off = _contexts(texts, list(asked["blob"]), length)
     doc = texts["doc_id"].to_numpy(np.int64)[row]
     low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
     np.minimum.at(low, which, doc)
     np.maximum.at(high, which, doc)
     all_contexts = list(known)
-    shard = np.array([_anchor_of(c, length, gram) for c in all_contexts], np.uint64)
-    shard = (mix(shard) % np.uint64(shards)).astype(np.int64)
+    at = np.zeros(len(known), np.int64)
+    at[which] = off
+    anchor = np.frombuffer(b"".join([c[o : o + gram] for c, o in zip(all_contexts, at.tolist(), strict=True)]), "<u8").reshape(len(known), -1)
+    shard = (mix(mix(anchor[:, 0] * _A + anchor[:, 1] * _B)) % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     parts = np.split(by, np.flatnonzero(np.diff(shard[by])) + 1)
     return pd.DataFrame({"shard": [shard[p[0]] for p in parts], "blob": [_pack(key[0], p, low[p], high[p], [all_contexts[i] for i in p]) for p in parts]})
 
 
-def _anchor_of(context: bytes, length: int, gram: int) -> int:
-    """The anchor hash of a context's first string, in plain integers."""
-    best, mask = None, (1 << 64) - 1
-    end = len(context)
-    # the anchor lies in every string of the context, so in the last as well as in the first
-    for at in range(end - length, length - gram + 1):
-        a, b = int.from_bytes(context[at : at + 8], "little"), int.from_bytes(context[at + 8 : at + 16], "little")
-        x = (a * int(_A) + b * int(_B)) & mask
-        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
-        x ^= x >> 31
-        if best is None or x >> 24 < best >> 24:
-            best = x
-    return best
-
-
 def _answer(asked: pd.DataFrame, length: int) -> pd.DataFrame:
     """Messages (g, blob): contexts of the group that lose bytes, and the smallest doc_id per start."""
     got = [_unpack(b) for b in asked["blob"]]
@@ -354,7 +340,7 @@ def _answer(asked: pd.DataFrame, length: int) -> pd.DataFrame:
 def _remove(texts: pd.DataFrame, told: pd.DataFrame, length: int, with_text: bool) -> pd.DataFrame:
     repeats = texts.groupby("rk").size()
     asked = list(told["blob"][told["kind"] == 0])
-    texts, _, row, first, which = _contexts(texts, asked, length)
+    texts, _, row, first, which, _ = _contexts(texts, asked, length)
     losing: dict[int, np.ndarray] = {}
     for blob in told["blob"][told["kind"] == 1]:
         losing.update(zip(*(list(x) for x in _unpack(blob)), strict=True))
