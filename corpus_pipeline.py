@@ -1,26 +1,55 @@
-"""Stages that turn ``documents`` into packed training sequences; each reads what the one before it wrote."""
+"""Stages that turn ``documents`` into packed training sequences; each reads what the one before it wrote.
+
+All stages but the last return the columns of ``documents``. Rows with a null doc_id pass the deduplicating stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import line_dedup, minhash, mixing, packing, quality
+from barloom.llm.common import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranker scores below the threshold go."""
+    docs = docs.select(*COLUMNS)
+    model = quality.train(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), docs)
+    return quality.score_documents(docs, model, "_q_score").where(F.col("_q_score") >= quality.CUT).select(*COLUMNS)
+
 
-from barloom.llm import mixing
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines repeated in three documents or more stay in one; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.when(F.col("_ld_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or thin out documents so that sources reach their targets."""
-    return mixing.mix_documents(docs)
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return minhash.keep_one_of_each(docs.select(*COLUMNS))
 
 
-STAGES = [("mix", mix)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or thinned out so that sources reach their targets."""
+    return mixing.mix_documents(docs.select(*COLUMNS))
 
-#: Learned scores and tokenizer output can't be said in SQL; tests/llm compares the stages with brute force.
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences, with their ids' checksum."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: Learned scores, hashed signatures and tokenizers can't be said in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.llm.common import materialize
-
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
