@@ -21,21 +21,23 @@ def isin_table(pages: DataFrame, html: str = "html") -> DataFrame:
     """Entries of an ISIN table: rows of six cells and more whose first is a code and a name and whose sixth, the CFI
     code, says share (ES) or fund (CE)."""
     rows = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("r")).select(_cells(F.col("r")).alias("c")).where("size(c) >= 6")
-    head, cfi, board = F.col("c")[0], F.col("c")[5], F.col("c")[3]
+    at = lambda i: F.get("c", F.lit(i))
+    head, cfi, board = at(0), at(5), at(3)
     code, name = F.regexp_extract(head, r"^([0-9A-Z]{4,6})\s+(.+)$", 1), F.regexp_extract(head, r"^([0-9A-Z]{4,6})\s+(.+)$", 2)
     kind = F.when(cfi.startswith("ES"), "stock").when(cfi.startswith("CE"), "etf")
     market = F.when(F.contains(board, F.lit("上櫃")), "TWO").otherwise("TW")
-    out = rows.select(code.alias("code"), F.concat(code, F.lit("."), market).alias("symbol"), name.alias("name_zh"), F.lit(None).cast("string").alias("name_en"), market.alias("market"), kind.alias("kind"), F.col("c")[2].alias("listed_at"), F.col("c")[4].alias("industry"))
+    out = rows.select(code.alias("code"), F.concat(code, F.lit("."), market).alias("symbol"), name.alias("name_zh"), F.lit(None).cast("string").alias("name_en"), market.alias("market"), kind.alias("kind"), at(2).alias("listed_at"), at(4).alias("industry"))
     return out.where("code <> '' and kind is not null")
 
 
 def symbol_file(lines: DataFrame, exchange: str, name_at: int = 1, test_at: int = 3, etf_at: int = 6, order: int = 0) -> DataFrame:
     """Entries of a pipe-delimited file (value): no header, footer, test issues or instruments that aren't shares."""
     f = lines.select(F.split("value", r"\|").alias("f")).where(F.size("f") > max(name_at, test_at, etf_at))
-    code, name = F.trim(F.col("f")[0]), F.col("f")[name_at]
-    good = code.rlike(r"^[A-Z][A-Z.]{0,6}$") & (F.trim(F.col("f")[test_at]) == "N") & is_share(name)
+    at = lambda i: F.get("f", F.lit(i))
+    code, name = F.trim(at(0)), at(name_at)
+    good = code.rlike(r"^[A-Z][A-Z.]{0,6}$") & (F.trim(at(test_at)) == "N") & is_share(name)
     symbol = F.translate(code, ".", "-")
-    return f.where(good).select(symbol.alias("code"), symbol.alias("symbol"), F.lit(None).cast("string").alias("name_zh"), trimmed_name(name).alias("name_en"), F.lit("US").alias("market"), F.when(F.trim(F.col("f")[etf_at]) == "Y", "etf").otherwise("stock").alias("kind"), F.lit(exchange).alias("exchange"), F.lit(order).alias("file_order"))
+    return f.where(good).select(symbol.alias("code"), symbol.alias("symbol"), F.lit(None).cast("string").alias("name_zh"), trimmed_name(name).alias("name_en"), F.lit("US").alias("market"), F.when(F.trim(at(etf_at)) == "Y", "etf").otherwise("stock").alias("kind"), F.lit(exchange).alias("exchange"), F.lit(order).alias("file_order"))
 
 
 def merged_files(*files: DataFrame) -> DataFrame:
