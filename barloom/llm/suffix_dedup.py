@@ -36,7 +36,7 @@ from .minhash import mix, powers
 
 LENGTH, GRAM = 50, 16  # a gram is two 8-byte words
 #: Bytes: of text a task reads before it sends anchors, of a segment, of a group's texts, of a shard's contexts.
-BATCH, SEGMENT, GROUP, SHARD = 12 << 20, 4 << 20, 12 << 20, 3 << 20
+BATCH, SEGMENT, GROUP, SHARD = 8 << 20, 4 << 20, 8 << 20, 2 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -84,13 +84,13 @@ def anchors(raw: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int
 def _classify(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (S-type); the last, a unique smallest symbol, is."""
     change = np.flatnonzero(text[:-1] != text[1:])
-    upto = change[np.searchsorted(change, np.arange(len(text) - 1))]
+    upto = np.repeat(change, np.diff(change, prepend=-1))  # the last symbol is unique, so this covers all but it
     return np.append(text[upto] < text[upto + 1], True)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array that LMS suffixes, in the order given, induce; bucket by bucket, whole batches at a time."""
-    before = np.concatenate([[-1], text[:-1]])
+    before = np.concatenate([np.array([-1], np.int16), text[:-1].astype(np.int16)])
     before_small = np.concatenate([[False], small[:-1]])
     bounds = np.searchsorted(text[lms][order := np.argsort(text[lms], kind="stable")], np.arange(symbols + 1))
     seeds = lms[order]
@@ -101,11 +101,11 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
         order = np.argsort(symbol, kind="stable")
         suffixes, symbol = suffixes[order], symbol[order]
         cuts = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
-        for part in np.split(suffixes, cuts):
-            into[text[part[0]]].append(part)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(suffixes)], strict=True):
+            into[symbol[a]].append(suffixes[a:b])
 
     large: list[np.ndarray] = []
-    nothing = np.zeros(0, np.int64)
+    nothing = np.zeros(0, np.int32)
     for c in range(symbols):
         parts, batch = [], np.concatenate(heads[c]) if heads[c] else nothing
         heads[c] = []
@@ -126,7 +126,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
         parts, batch = [], np.concatenate(tails[c]) if tails[c] else nothing
         tails[c] = []
         if c == 0:
-            batch = np.array([len(text) - 1])
+            batch = np.array([len(text) - 1], np.int32)
         while len(batch):
             parts.append(batch)
             go = batch[(before[batch] <= c) & (before[batch] >= 0) & before_small[batch]]
@@ -145,16 +145,17 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` (numbers below some 260, the last one a unique 0), sorted by their first ``depth`` symbols at least."""
+    text = text.astype(np.uint16)  # sixteen bits sort by radix
     symbols, small = int(text.max()) + 1, _classify(text)
-    lms = np.flatnonzero(small & np.concatenate([[False], ~small[:-1]]))
+    lms = np.flatnonzero(small & np.concatenate([[False], ~small[:-1]])).astype(np.int32)
     if len(lms) > 1:
         marked = np.zeros(len(text), bool)
         marked[lms] = True
         order = _induce(text, small, lms, symbols)
         order = order[marked[order]]  # LMS substrings in order
         ends = np.append(lms[1:], len(text) - 1)
-        place = np.empty(len(text), np.int64)
-        place[lms] = np.arange(len(lms))
+        place = np.empty(len(text), np.int32)
+        place[lms] = np.arange(len(lms), dtype=np.int32)
         up, down = powers(len(text) + 2)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(text.astype(np.uint64) + _A) * up[: len(text)])])
         code = mix((sums[ends + 1] - sums[lms]) * down[lms]) + (ends - lms).astype(np.uint64)
@@ -165,28 +166,35 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while name.max() < len(lms) - 1 and 2 * reach < depth + 2:
             then = np.concatenate([name[reach:], np.full(min(reach, len(name)), -1)])[: len(name)]
             pair = name * (len(lms) + 1) + then + 1
-            by = np.argsort(pair, kind="stable")
+            by = np.argsort(pair)
             name[by] = np.cumsum(np.concatenate([[0], pair[by][1:] != pair[by][:-1]]))
             reach *= 2
-        lms = lms[np.argsort(name, kind="stable")]
+        lms = lms[np.argsort(name)]
     return _induce(text, small, lms, symbols)
 
 
-def smallest_holders(contexts: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each start of a ``length``-byte string in each context, the smallest owner among the contexts that hold it."""
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] of them, one i after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def smallest_holders(contexts: list[bytes], owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start of a ``length``-byte string in each context, the smallest owner among the contexts that hold it:
+    a flat array, and each context's place and count of starts in it."""
     sizes = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    coded = text.astype(np.int64) + 2
+    coded = text.astype(np.uint16) + np.uint16(2)
     coded[starts + sizes] = 1
-    coded = np.append(coded, 0)
+    coded = np.append(coded, np.uint16(0))
     usable = np.zeros(len(coded), bool)
-    which = np.repeat(np.arange(len(contexts)), sizes + 1)
-    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(text))
+    which = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    left = np.repeat((starts + sizes).astype(np.int32), sizes + 1) - np.arange(len(text), dtype=np.int32)
     usable[: len(text)] = left >= length
     order = suffix_array(coded, length)
     order = order[usable[order]]
-    above = np.full(len(text), -1)  # the suffix before each, by place: phi
+    above = np.full(len(text), -1, np.int32)  # the suffix before each, by place: phi
     above[order[1:]] = order[:-1]
     spots = np.flatnonzero(above >= 0)
     w, same = words8(text), np.ones(len(spots), bool)
@@ -198,7 +206,7 @@ def smallest_holders(contexts: list[bytes], owner: np.ndarray, length: int = LEN
     least = np.empty(len(text), np.int64)
     if len(order):
         least[order] = np.repeat(np.minimum.reduceat(owner[which[order]], runs), np.diff(np.append(runs, len(order))))
-    return [least[s : s + z - length + 1] for s, z in zip(starts, sizes, strict=True)]
+    return least, starts, sizes - length + 1
 
 
 def _segments(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -325,39 +333,52 @@ def _answer(asked: pd.DataFrame, length: int) -> pd.DataFrame:
     low = np.concatenate([x[2] for x in got])
     owner = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, low)
-    least = smallest_holders(list(number), owner, length)
-    floor = np.array([x.min() for x in least])
+    least, starts, counts = smallest_holders(list(number), owner, length)
+    flat = least[spread(starts, counts)]
+    places = np.cumsum(counts) - counts
+    floor = np.minimum.reduceat(flat, places)
     g, blobs, at = [], [], 0
     for group, own, _, high, _ in got:
         mine = which[at : at + len(own)]
         at += len(own)
         if (lose := np.flatnonzero(floor[mine] < high)).size:
             g.append(group)
-            blobs.append(_pack(own[lose], [least[i] for i in mine[lose]]))
+            blobs.append(_pack(own[lose], counts[mine[lose]], flat[spread(places[mine[lose]], counts[mine[lose]])]))
     return pd.DataFrame({"g": np.array(g, np.int64), "blob": blobs})
 
 
+def _covered(answers: list[bytes], row: np.ndarray, first: np.ndarray, which: np.ndarray, doc: np.ndarray, length: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the maximal runs that each row loses. Anchors come in order of row and place."""
+    got = [_unpack(b) for b in answers]
+    if not got:
+        return {}
+    own, counts, least = (np.concatenate([x[i] for x in got]) for i in range(3))
+    at, size = np.zeros(which.max() + 1, np.int64), np.zeros(which.max() + 1, np.int64)
+    at[own], size[own] = np.cumsum(counts) - counts, counts
+    hit = np.flatnonzero(size[which] > 0)
+    many = size[which[hit]]
+    rows, starts = np.repeat(row[hit], many), spread(first[hit], many)
+    gone = least[spread(at[which[hit]], many)] < doc[rows]
+    rows, starts = rows[gone], starts[gone]
+    if not len(rows):
+        return {}
+    head = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + length)]))
+    a, b, rows = starts[head], starts[np.append(head[1:] - 1, len(starts) - 1)] + length, rows[head]
+    cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return {int(rows[i]): (a[i:j], b[i:j]) for i, j in zip(cuts, [*cuts[1:], len(rows)], strict=True)}
+
+
 def _remove(texts: pd.DataFrame, told: pd.DataFrame, length: int, with_text: bool) -> pd.DataFrame:
     repeats = texts.groupby("rk").size()
     asked = list(told["blob"][told["kind"] == 0])
     texts, _, row, first, which, _ = _contexts(texts, asked, length)
-    losing: dict[int, np.ndarray] = {}
-    for blob in told["blob"][told["kind"] == 1]:
-        losing.update(zip(*(list(x) for x in _unpack(blob)), strict=True))
-    cover: dict[int, list[np.ndarray]] = {}
     doc = texts["doc_id"].to_numpy(np.int64)
-    hit = np.flatnonzero(np.isin(which, np.fromiter(losing, np.int64, len(losing)))) if losing else []
-    for i in hit:
-        gone = np.flatnonzero(losing[int(which[i])] < doc[row[i]])
-        if len(gone):
-            cover.setdefault(int(row[i]), []).append(gone + first[i])
+    cover = _covered(list(told["blob"][told["kind"] == 1]), row, first, which, doc, length)
     out = []
     for r, (rk, doc_id, raw) in enumerate(zip(texts["rk"], texts["doc_id"], texts["raw"], strict=True)):
         removed, spans, kept = 0, 0, raw
         if r in cover:
-            starts = np.sort(np.concatenate(cover[r]))
-            head = np.concatenate([[True], starts[1:] > starts[:-1] + length])
-            a, b = starts[head], starts[np.append(np.flatnonzero(head)[1:] - 1, len(starts) - 1)] + length
+            a, b = cover[r]
             removed, spans = int((b - a).sum()), len(a)
             kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
         one = (doc_id, len(raw), removed, spans, kept if with_text else hashlib.sha256(kept).hexdigest())
