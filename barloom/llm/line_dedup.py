@@ -29,7 +29,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Shards of the filters, and lines that one task looks up at a time.
 SHARDS, LINES_PER_TASK = 64, 200_000
-SLOTS, KICKS = 4, 200
+SLOTS, KICKS, LOAD = 4, 200, 0.85
 
 
 class CuckooFilter:
@@ -40,7 +40,7 @@ class CuckooFilter:
 
     @staticmethod
     def empty(capacity: int) -> np.ndarray:
-        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / (SLOTS * 0.85)))))
+        buckets = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / (SLOTS * LOAD)))))
         return np.zeros((buckets, SLOTS), np.uint16)
 
     @staticmethod
@@ -66,16 +66,28 @@ class CuckooFilter:
         return found
 
     def insert(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Insert distinct keys; what finds no place after KICKS rounds goes to a new, larger segment."""
+        """Insert distinct keys. A segment at its load limit is followed by a larger one.
+
+        What finds no place in KICKS rounds goes to further segments of the same size: of a mark that was pushed out,
+        only its bucket in that size is known.
+        """
         mark, at, _ = self.marks(h1, h2)
         while len(mark):
-            mark, at = self.place(self.segments[-1], mark, at)
-            if len(mark):
-                self.segments.append(self.empty(max(2 * self.segments[-1].size, 2 * len(mark))))
+            last = self.segments[-1]
+            room = int(LOAD * last.size) - np.count_nonzero(last)
+            if room <= 0:
+                self.segments.append(self.empty(max(2 * last.size, len(mark))))
+                continue
+            rest = self.place(last, mark[:room], at[:room])
+            while len(rest[0]):
+                self.segments.append(np.zeros_like(last))
+                rest = self.place(self.segments[-1], *rest)
+            mark, at = mark[room:], at[room:]
 
     def place(self, table: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put marks in the table; gives those left over, with a bucket of theirs."""
         mask, dice = np.uint64(len(table) - 1), np.random.default_rng(7)
-        origin, here = at.copy(), at & mask
+        mark, here = mark.copy(), at & mask
         for turn in range(KICKS):
             for _ in range(2):  # this bucket, then the other; one key per bucket and round
                 while len(mark):
@@ -88,7 +100,7 @@ class CuckooFilter:
                     table[here[put], free[can].argmax(axis=1)] = mark[put]
                     keep = np.ones(len(mark), bool)
                     keep[put] = False
-                    mark, here, origin = mark[keep], here[keep], origin[keep]
+                    mark, here = mark[keep], here[keep]
                 here = here ^ (self.spread(mark) & mask)
             if not len(mark):
                 break
@@ -100,11 +112,11 @@ class CuckooFilter:
             table[here[first], slot] = mark[first]
             mark[first] = out
             here[first] = here[first] ^ (self.spread(out) & mask)
-            origin[first] = here[first]
-        return mark, here if len(mark) else origin[:0]
+        return mark, here
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Take out one copy of each key's fingerprint; keys must have been inserted."""
+        """Take out one copy of each key's fingerprint; keys must have been inserted. Larger segments come first: a key that
+        shares a mark and bucket there shares them in the smaller ones too, so no other key is lost."""
         mark, at, jump = self.marks(h1, h2)
         for m, a, j in zip(mark, at, jump, strict=True):
             for table in reversed(self.segments):
