@@ -2,7 +2,8 @@
 
 Each page is read into nested elements and every element's subtree is hashed. Spark counts, per host, on how many pages
 a subtree occurs; a subtree that recurs on a large share of a host's pages is template and is deleted. Inside the
-article only what recurs on most pages of the host goes, so that passages which several articles share stay.
+article only blocks that recur on most pages of the host go, so that passages which several articles share stay, and
+words in bold or linked that happen to recur.
 
 Defined cases: null html is an empty page with the text ""; a page without an article or main element is taken whole;
 unclosed tags end where their parent ends; pages with a null or odd url form one host ""; repeated rows count as pages
@@ -139,7 +140,7 @@ class Page:
         if e.dropped:
             return
         has_text = len(self.blocks) > e.blocks or len(self.run) > e.run
-        if has_text and e.tag not in ("html", "body", "article", "main"):
+        if has_text and e.tag not in ("html", "body", "article", "main") and (e.tag in _BLOCK or not e.inside):
             self.seen.add(mark)
             share = self.templates.get(mark, 0.0)
             if share >= ARTICLE_SHARE or (share and not e.inside):
