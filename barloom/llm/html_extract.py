@@ -1,13 +1,13 @@
 """Main text of HTML pages: fixed page furniture goes by name, site templates go by recurrence.
 
-Each page is read into nested elements and every element's subtree is hashed. Spark counts, per host, on how many pages
-a subtree occurs; a subtree that recurs on a large share of a host's pages is template and is deleted. Inside the
+Each page is read into nested elements and every element's subtree is hashed. Spark counts, per host, on how many
+different pages a subtree occurs, so that copies of a page aren't recurrence; a subtree that recurs on a large share of a host's pages is template and is deleted. Inside the
 article only blocks that recur on most pages of the host go, so that passages which several articles share stay, and
 words in bold or linked that happen to recur.
 
 Defined cases: null html is an empty page with the text ""; a page without an article or main element is taken whole;
-unclosed tags end where their parent ends; pages with a null or odd url form one host ""; repeated rows count as pages
-of their own; other columns than url and html pass through (internal ones start with ``_h_``).
+unclosed tags end where their parent ends; pages with a null or odd url form one host ""; pages of a host with equal
+html count as one; other columns than url and html pass through (internal ones start with ``_h_``).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small
 
-#: A template recurs on at least so many pages, and on this share of its host's pages: anywhere, inside an article.
+#: A template recurs on at least so many different pages, and on this share of its host's pages: anywhere, inside an article.
 PAGES, SHARE, ARTICLE_SHARE = 8, 0.1, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
@@ -167,9 +167,11 @@ def site_templates(pages: DataFrame) -> DataFrame:
     def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [list(Page(t or "").seen) for t in frame["html"]]
-            yield pd.DataFrame({"_h_host": frame["_h_host"], "marks": found})
+            contents = [hashlib.blake2b((t or "").encode("utf-8", "replace"), digest_size=16).digest() for t in frame["html"]]
+            yield pd.DataFrame({"_h_host": frame["_h_host"], "content": contents, "marks": found})
 
-    seen = materialize(pages.select(host_of("url").alias("_h_host"), "html").mapInPandas(subtrees, "_h_host string, marks array<long>"), "html-subtrees")
+    rows = pages.select(host_of("url").alias("_h_host"), "html").mapInPandas(subtrees, "_h_host string, content binary, marks array<long>")
+    seen = materialize(rows.groupBy("_h_host", "content").agg(F.first("marks").alias("marks")), "html-subtrees")
     sizes = seen.groupBy("_h_host").agg(F.count("*").alias("pages"))
     counts = seen.select("_h_host", F.explode("marks").alias("mark")).groupBy("_h_host", "mark").count().where(F.col("count") >= PAGES)
     share = F.col("count") / F.col("pages")

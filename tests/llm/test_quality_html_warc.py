@@ -66,6 +66,18 @@ def test_main_text_without_furniture_and_templates(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_not_templates(spark):
+    article = "<html><body><article><h2>Only story</h2><p>The whole of it.</p><div>And its end.</div></article></body></html>"
+    bare = "<html><body><h2>Bare story</h2><p>No article element.</p></body></html>"
+    rows = [(i, f"http://copies.example/{i}", article) for i in range(12)] + [(100 + i, ["odd", None][i % 2], bare) for i in range(10)]
+    rows += [(200 + i, f"http://mixed.example/{i}", article if i < 9 else PAGE.format(i=i)) for i in range(17)]
+    rows += [(300 + i, f"http://mixed.example/{i}", bare) for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    assert {found[i] for i in (*range(12), *range(200, 209))} == {"Only story The whole of it. And its end."}
+    assert {found[i] for i in (*range(100, 110), *range(300, 303))} == {"Bare story No article element."}
+
+
 def test_pages_keep_their_articles(spark):
     rows = queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/pages.parquet").count()
