@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,40 @@ def test_embedding_dedup_of_the_test_embeddings(spark):
     assert linked(table) == want
 
 
+def planted(n: int, pairs: int, cosine: float, mean: float, dim: int = 64) -> np.ndarray:
+    """``n`` unit rows with a mean cosine of ``mean``; each of the last ``pairs`` rows is near one of the first."""
+    dice = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(np.sqrt(1 - mean) * unit(dice.standard_normal((n, dim))) + np.sqrt(mean) * unit(dice.standard_normal((1, dim))))
+    own, aside = x[:pairs], dice.standard_normal((pairs, dim))
+    x[n - pairs :] = cosine * own + np.sqrt(1 - cosine**2) * unit(aside - (aside * own).sum(axis=1)[:, None] * own)
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize(("cosine", "mean"), [(0.94, 0.6), (0.931, 0.0)])
+def test_planted_pairs_of_a_large_label_are_found(spark, tmp_path, cosine, mean):
+    n, pairs = 120_000, 2000
+    table = pa.table({"vec_id": np.arange(n), "embedding": list(planted(n, pairs, cosine, mean)), "label": np.ones(n, np.int32)})
+    pq.write_table(table, tmp_path / "large.parquet", row_group_size=20_000)
+    found = embed_dedup.dedup_embeddings(spark.read.parquet(f"file://{tmp_path}/large.parquet")).where("n_links > 0").select("vec_id", "component_id").toPandas()
+    component = dict(zip(found["vec_id"], found["component_id"], strict=True))
+    recall = np.mean([component.get(n - pairs + i, -1) == i for i in range(pairs)])
+    print(f"recall {recall:.4f}")
+    assert recall >= embed_dedup.RECALL - 0.001
+
+
+def test_passes_with_range_edges_against_brute_force(spark):
+    dice = np.random.default_rng(4)
+    x = dice.standard_normal((1500, 16))
+    x[750:] = x[:750] + 0.22 * dice.standard_normal((750, 16))
+    rows = [(i, v.tolist(), i % 750 % 2) for i, v in enumerate(x.astype(np.float32))]
+    found = embed_dedup.dedup_embeddings(spark.createDataFrame(rows, VECTORS), passes=1, window=64, exact=100)
+    want, got = brute_links(rows), {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert all(got[i] <= want[i][0] for i in want)
+    plain = embed_dedup.dedup_embeddings(spark.createDataFrame(rows, VECTORS), passes=24, window=64, exact=100)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in plain.collect()} == want
+
+
 def test_repeated_ids_and_null_ids(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], VECTORS)
     found = sorted((tuple(r) for r in embed_dedup.dedup_embeddings(frame).collect()), key=str)
