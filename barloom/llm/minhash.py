@@ -11,7 +11,7 @@ only a spanning forest of the links found, so no group ever emits all its pairs.
 
 Defined cases: words are runs without ASCII white space; a text of fewer than five words is one shingle; a null, empty
 or blank text has no shingle and stays alone, as does a row whose doc_id is null; rows that repeat a doc_id are one
-document of the smallest id; an empty table gives an empty result; other columns than doc_id and text are not read.
+document, which is near whatever one of its texts is near; an empty table gives an empty result; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -156,6 +156,15 @@ def _batches(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
             texts, at, held = [], i + 1, 0
 
 
+def set_hashes(cells: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each weighted set."""
+    sums = [np.zeros(count, np.uint64) for _ in range(2)]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    for s, salt in zip(sums, (1, 2), strict=True):
+        s[owner[starts]] = np.add.reduceat(mix(cells + np.uint64(salt)), starts) if len(starts) else 0
+    return sums[0].view(np.int64), sums[1].view(np.int64)
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, h1, h2 (a hash of the weighted set), n (its weight), keys (of the bands)."""
 
@@ -165,11 +174,8 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 cells, owner = shingles(texts)
                 keys = band_keys(signatures(cells, owner, len(texts), bands * rows), bands, rows)
                 n = np.bincount(owner, minlength=len(texts))
-                sums = [np.zeros(len(texts), np.uint64) for _ in range(2)]
-                starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                for s, salt in zip(sums, (1, 2), strict=True):
-                    s[owner[starts]] = np.add.reduceat(mix(cells + np.uint64(salt)), starts) if len(starts) else 0
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": sums[0].view(np.int64), "h2": sums[1].view(np.int64), "n": n, "keys": list(keys)})
+                h1, h2 = set_hashes(cells, owner, len(texts))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": h1, "h2": h2, "n": n, "keys": list(keys)})
 
     return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(sign, "doc_id long, h1 long, h2 long, n long, keys array<long>").where("n > 0")
 
@@ -211,12 +217,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     stars = spots.join(buckets, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     clusters = materialize(components(stars).withColumnRenamed("component", "cluster"), "minhash-clusters")
 
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialize(members.join(reps.select(F.col("rep").alias("node"), "n"), "node"), "minhash-members")
+    sets = clusters.join(reps.select(F.col("rep").alias("node"), "h1", "h2", "n"), "node")
+    sizes = sets.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    members = materialize(members, "minhash-members")
     total = members.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("n") * F.col("blocks")), F.lit(0))).first()
     links = materialize(_verified(docs, members, int(total[0]), int(total[1]), similarity), "minhash-links")
 
+    several = marks.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("doc_id")
+    own = marks.select("doc_id", "h1", "h2").join(several, "doc_id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
+    links = links.unionByName(own.select("a", F.explode("reps").alias("b")).where("a <> b"))
     classes = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "class_id")
     of_set = reps.select("h1", "h2", "rep").join(classes, "rep", "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id"))
     of_doc = marks.select("doc_id", "h1", "h2").join(of_set, ["h1", "h2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -233,12 +243,14 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, held: int, simila
             for part, texts in _batches(frame):
                 cells, owner = shingles(texts)
                 cuts = np.searchsorted(owner, np.arange(1, len(texts)))
-                yield part[["doc_id", "cluster", "block", "blocks"]].assign(cells=[np.sort(c).tobytes() for c in np.split(cells, cuts)])
+                h1, h2 = set_hashes(cells, owner, len(texts))
+                same = (part["h1"].to_numpy() == h1) & (part["h2"].to_numpy() == h2)
+                yield part[["doc_id", "h1", "h2", "cluster", "block", "blocks"]].assign(cells=[np.sort(c).tobytes() for c in np.split(cells, cuts)])[same]
 
     def compare(mine: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for (_, low, high), rows in mine.groupby(["cluster", "low", "high"], sort=False):
-            rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+            rows = rows.drop_duplicates(["h1", "h2"]).sort_values(["doc_id", "h1", "h2"])
             ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
             if len(ids) < 2:
                 continue
@@ -250,11 +262,11 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, held: int, simila
                     b.append(ids[j])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    chosen = small(members.select(F.col("node").alias("doc_id"), "cluster", "block", "blocks"), count)
+    chosen = small(members.select(F.col("node").alias("doc_id"), "h1", "h2", "cluster", "block", "blocks"), count)
     text = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text").join(chosen, "doc_id")
-    ready = text.mapInPandas(sets, "doc_id long, cluster long, block int, blocks int, cells binary")
+    ready = text.mapInPandas(sets, "doc_id long, h1 long, h2 long, cluster long, block int, blocks int, cells binary")
     pairs = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("doc_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cells")
+    pairs = pairs.select("doc_id", "h1", "h2", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cells")
     keyed = pairs.withColumn("g", F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(groups)).cast("int"))
     return keyed.groupBy("g").applyInPandas(lambda mine: compare(mine), "a long, b long")
 

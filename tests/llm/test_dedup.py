@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from corpus_cases import by_sql, clashing, corpus, documents, plain
+from corpus_cases import by_sql, clashing, corpus, documents, plain, prose
 from pyspark.sql import functions as F
 
 from barloom.llm import line_dedup, minhash, queries, suffix_dedup
@@ -155,6 +155,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_every_text_of_a_repeated_id(spark):
+    one, two, three = prose(700, 120), prose(701, 120), prose(702, 120)
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, prose(703, 120)), (5, three), (6, two), (6, three), (7, three + " more")]
+    for dealt in (rows, rows[::-1]):
+        found = minhash_rows(spark.createDataFrame(dealt, "doc_id long, text string").repartition(3))
+        assert found == {i: 4 if i == 4 else 1 for i in range(1, 8)}
+
+
 def test_near_duplicates_of_the_test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want, found = brute_classes([tuple(r) for r in docs.collect()], 0.8), minhash_rows(docs)
