@@ -13,11 +13,13 @@ BROADCAST_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; executors must be able to reach it, so there is no default."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="barloom-")
+    if not path and spark.sparkContext.master.startswith("local"):
+        path = "file://" + tempfile.mkdtemp(prefix="barloom-")  # one machine, so its own folder is shared
         spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -34,6 +36,19 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, count: str, by: str, hot: int) -> DataFrame:
+    """Inner join of many ``rows`` with the one row of ``facts`` of their ``key``, whose ``count`` says how many they are.
+
+    Keys with more than ``hot`` rows are dealt over several tasks by the hash of ``by``. The caller chooses ``hot`` so that
+    few keys can exceed it (all rows / ``hot`` at most), since these are broadcast.
+    """
+    salts = F.when(F.col(count) > hot, F.ceil(F.col(count) / F.lit(hot))).otherwise(F.lit(1)).cast("long")
+    heavy = facts.where(F.col(count) > hot).select(key, salts.alias("_salts"))
+    left = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_salts"))).cast("long")).drop("_salts")
+    right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def scan_cpu_partitions(spark: SparkSession, at_least: int = 12) -> int:
     """Shuffle partitions of the session, which the deployment sizes with the data."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -5,9 +5,11 @@ weight and rank; a dart's place depends only on hashes of its element, so docume
 darts. Each dart belongs to one coordinate of the signature, and a coordinate keeps the document's earliest dart. Two
 documents agree in a coordinate with probability equal to their weighted Jaccard similarity.
 
-Documents with the same weighted set become one representative. Representatives that share a band of coordinates are
-candidates; clusters of candidates are compared exactly, large ones block against block, and each comparison gives
-only a spanning forest of the links found, so no group ever emits all its pairs.
+Documents with the same weighted set become one representative. Representatives that share a band of coordinates are in
+one bucket. First each is compared exactly with one member of its buckets, the smallest; then buckets whose members
+aren't all linked by that are compared inside, large ones block against block, leaving out pairs that are linked
+already. So chance collisions join no buckets, and each comparison gives only a spanning forest of its links: the
+components are those of all candidate pairs, but no group ever emits all its pairs.
 
 Defined cases: words are runs without ASCII white space; a text of fewer than five words is one shingle; a null, empty
 or blank text has no shingle and stays alone, as does a row whose doc_id is null; rows that repeat a doc_id are one
@@ -20,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, spread_join
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Bytes of text handled together in a task, members of a block, bytes of shingles in a comparing group.
-BATCH_BYTES, BLOCK, GROUP_BYTES = 1 << 20, 384, 8 << 20
+#: Bytes of text handled together in a task; members and bytes of shingles of a block, bytes of a comparing group.
+BATCH_BYTES, BLOCK, BLOCK_BYTES, GROUP_BYTES = 1 << 20, 384, 16 << 20, 8 << 20
+#: A key with more rows than HOT, or than 1 in HOTS of all, is dealt over several tasks.
+HOT, HOTS = 4096, 8192
 
 _P, _GOLD = 0x9E3779B97F4A7C55, np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
@@ -180,29 +184,33 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(sign, "doc_id long, h1 long, h2 long, n long, keys array<long>").where("n > 0")
 
 
-def forest(cells: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Spanning links among rows ``left`` x ``right`` whose Jaccard similarity reaches ``similarity``."""
-    parent = list(range(len(cells)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def forest(cells: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links among rows ``left`` x ``right`` whose Jaccard similarity reaches ``similarity``.
 
+    Rows of one ``label`` count as linked beforehand; pairs that links already join are not compared.
+    """
+    label = np.arange(len(cells)) if label is None else np.unique(label, return_inverse=True)[1]
     sizes = np.array([len(c) for c in cells])
     values, codes = np.unique(np.concatenate([cells[i] for i in right]), return_inverse=True)
-    starts, out, seen = np.concatenate([[0], np.cumsum(sizes[right])[:-1]]), [], np.zeros(len(values), np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes[right])])
+    out, seen = [], np.zeros(len(values), np.int64)
     for i in left:
+        apart = np.flatnonzero(label[right] != label[i])
+        if not len(apart):
+            continue
         at = np.searchsorted(values, cells[i])
         at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == cells[i])]
         seen[at] = 1
-        both = np.add.reduceat(seen[codes], starts)
+        if len(apart) * 4 > len(right):
+            both = np.add.reduceat(seen[codes], edges[:-1])[apart]
+        else:
+            both = np.array([seen[codes[edges[j] : edges[j + 1]]].sum() for j in apart])
         seen[at] = 0
-        for j in right[both >= similarity * (sizes[i] + sizes[right] - both) - 1e-9]:
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, int(j)))
+        total = sizes[i] + sizes[right[apart]] - both
+        for j in right[apart[both >= similarity * total - 1e-9]]:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((int(i), int(j)))
     return out
 
 
@@ -212,21 +220,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     reps = marks.groupBy("h1", "h2").agg(F.min_by(F.struct("n", "keys"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("h1", "h2", "rep", "s.n", "s.keys")
     reps = materialize(reps, "minhash-reps")
 
-    spots = reps.select("rep", F.explode("keys").alias("key"))
-    buckets = spots.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
-    stars = spots.join(buckets, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = materialize(components(stars).withColumnRenamed("component", "cluster"), "minhash-clusters")
-
-    sets = clusters.join(reps.select(F.col("rep").alias("node"), "h1", "h2", "n"), "node")
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
-    members = materialize(members, "minhash-members")
-    total = members.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("n") * F.col("blocks")), F.lit(0))).first()
-    links = materialize(_verified(docs, members, int(total[0]), int(total[1]), similarity), "minhash-links")
-
     several = marks.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("doc_id")
     own = marks.select("doc_id", "h1", "h2").join(several, "doc_id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
-    links = links.unionByName(own.select("a", F.explode("reps").alias("b")).where("a <> b"))
+    own = own.select("a", F.explode("reps").alias("b")).where("a <> b")
+
+    shared = _shared_buckets(reps)
+    near = materialize(shared.where("rep <> pivot").groupBy("rep").agg(F.min("pivot").alias("pivot")), "minhash-near")
+    sets = reps.select("rep", "h1", "h2", "n")
+    first = materialize(_verified(docs, _stars(near, sets), similarity), "minhash-first").unionByName(own)
+    joined = components(first)
+    links = first.unionByName(materialize(_verified(docs, _open_buckets(shared, near, joined, sets), similarity), "minhash-links"))
     classes = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "class_id")
     of_set = reps.select("h1", "h2", "rep").join(classes, "rep", "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id"))
     of_doc = marks.select("doc_id", "h1", "h2").join(of_set, ["h1", "h2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -234,9 +237,57 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(docs: DataFrame, members: DataFrame, count: int, held: int, similarity: float) -> DataFrame:
-    """Links of exact similarity inside clusters, compared block by block."""
-    groups = max(1, -(-held // GROUP_BYTES), -(-count // 4000))
+def _shared_buckets(reps: DataFrame) -> DataFrame:
+    """rep, key, pivot (the bucket's smallest rep), c (its size), for buckets of several representatives."""
+    spots = reps.select("rep", F.explode("keys").alias("key"))
+    buckets = materialize(spots.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1"), "minhash-buckets")
+    count, total = buckets.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if count <= HOT:
+        return materialize(spots.join(F.broadcast(buckets), "key"), "minhash-shared")
+    return materialize(spread_join(spots, buckets, "key", "c", "rep", max(HOT, total // HOTS)), "minhash-shared")
+
+
+def _parts(members: str, weight: str) -> Column:
+    """Blocks that keep to BLOCK members and, about, BLOCK_BYTES of shingles."""
+    return F.greatest(F.ceil(F.col(members) / F.lit(BLOCK)), F.ceil(F.col(weight) * 8 / F.lit(BLOCK_BYTES))).cast("long")
+
+
+def _stars(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each representative beside its smallest bucket mate: rep, h1, h2, n, label, unit (compared together), side."""
+    rows = materialize(near.join(sets, "rep"), "minhash-rows")
+    fan = rows.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("held")).withColumn("parts", _parts("c", "held"))
+    total = rows.count()
+    leaves = spread_join(rows, fan, "pivot", "c", "rep", max(HOT, total // HOTS)).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    leaves = leaves.select("rep", "h1", "h2", "n", F.xxhash64("pivot", "part").alias("unit"), F.lit(1).alias("side"))
+    centres = fan.select(F.col("pivot").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets, "rep")
+    centres = centres.select("rep", "h1", "h2", "n", F.xxhash64("rep", "part").alias("unit"), F.lit(0).alias("side"))
+    return leaves.unionByName(centres).withColumn("label", F.col("rep"))
+
+
+def _open_buckets(shared: DataFrame, near: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets that the first links don't join, once per pair of blocks; columns as of ``_stars``.
+
+    Of buckets with the same members one stays; those of two members that were compared with each other are done.
+    """
+    rows = shared.join(near.withColumnRenamed("pivot", "first"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.select("rep", "key", "c", F.coalesce("component", "rep").alias("label"), ((F.col("c") == 2) & (F.col("first") == F.col("pivot"))).alias("done"))
+    rows = materialize(rows.join(sets, "rep"), "minhash-labelled")
+    state = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("done").alias("done"), F.first("c").alias("c"), F.sum("n").alias("held"), F.sum(F.xxhash64("rep", "h1", "h2").cast("decimal(38,0)")).alias("mark"))
+    left = state.where("low <> high and not coalesce(done, false)").groupBy("mark", "c").agg(F.min_by(F.struct("key", "held"), "key").alias("k"))
+    left = materialize(left.select("k.key", "k.held", "c").withColumn("parts", _parts("c", "held")), "minhash-open")
+    count, total = left.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    met = rows.drop("c").join(F.broadcast(left), "key") if count <= HOT else spread_join(rows.drop("c"), left, "key", "c", "rep", max(HOT, total // HOTS))
+    met = met.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return met.select("rep", "h1", "h2", "n", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), side.alias("side"), "label")
+
+
+def _verified(docs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Links of exact similarity between sides 0 and 1 of each unit, and among the rows of side 2."""
+    members = materialize(members, "minhash-members")
+    count, held = members.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()
+    groups = max(1, -(-int(held) // GROUP_BYTES), -(-count // 4000))
+    wanted = members.groupBy(F.col("rep").alias("doc_id"), "h1", "h2").agg(F.collect_list(F.struct("unit", "side", "label")).alias("places"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -245,29 +296,25 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, held: int, simila
                 cuts = np.searchsorted(owner, np.arange(1, len(texts)))
                 h1, h2 = set_hashes(cells, owner, len(texts))
                 same = (part["h1"].to_numpy() == h1) & (part["h2"].to_numpy() == h2)
-                yield part[["doc_id", "h1", "h2", "cluster", "block", "blocks"]].assign(cells=[np.sort(c).tobytes() for c in np.split(cells, cuts)])[same]
+                yield part[["doc_id", "h1", "h2", "places"]].assign(cells=[np.sort(c).tobytes() for c in np.split(cells, cuts)])[same]
 
     def compare(mine: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for (_, low, high), rows in mine.groupby(["cluster", "low", "high"], sort=False):
-            rows = rows.drop_duplicates(["h1", "h2"]).sort_values(["doc_id", "h1", "h2"])
-            ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
-            if len(ids) < 2:
-                continue
-            cells = [np.frombuffer(c, np.uint64) for c in rows["cells"]]
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for _, rows in mine.groupby("unit", sort=False):
+            rows = rows.drop_duplicates(["h1", "h2", "side"]).sort_values(["doc_id", "h1", "h2", "side"])
+            ids, side = rows["doc_id"].to_numpy(), rows["side"].to_numpy()
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             if len(left) and len(right):
-                for i, j in forest(cells, left, right, similarity):
+                cells = [np.frombuffer(c, np.uint64) for c in rows["cells"]]
+                for i, j in forest(cells, left, right, similarity, rows["label"].to_numpy()):
                     a.append(ids[i])
                     b.append(ids[j])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    chosen = small(members.select(F.col("node").alias("doc_id"), "h1", "h2", "cluster", "block", "blocks"), count)
-    text = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text").join(chosen, "doc_id")
-    ready = text.mapInPandas(sets, "doc_id long, h1 long, h2 long, cluster long, block int, blocks int, cells binary")
-    pairs = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("doc_id", "h1", "h2", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cells")
-    keyed = pairs.withColumn("g", F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(groups)).cast("int"))
+    text = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "text").join(small(wanted, count), "doc_id")
+    ready = text.mapInPandas(sets, "doc_id long, h1 long, h2 long, places array<struct<unit long, side int, label long>>, cells binary")
+    pairs = ready.select("doc_id", "h1", "h2", F.explode("places").alias("p"), "cells").select("doc_id", "h1", "h2", "p.*", "cells")
+    keyed = pairs.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int"))
     return keyed.groupBy("g").applyInPandas(lambda mine: compare(mine), "a long, b long")
 
 
