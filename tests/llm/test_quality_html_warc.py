@@ -78,6 +78,51 @@ def test_copies_of_a_page_are_not_templates(spark):
     assert {found[i] for i in (*range(100, 110), *range(300, 303))} == {"Bare story No article element."}
 
 
+PLAIN = """<html><head><title>{head} | Site</title></head><body><div class="q7 m{i}"><ul>{menu}</ul></div><div class="wr"><div class="b2">{ad}</div>
+<div class="k9"><h1>{head}</h1>{body}</div></div><div class="z">{foot}</div></body></html>"""
+
+
+def plain_pages(pages: int, hosts: int, seed: int = 3):
+    dice = np.random.default_rng(seed)
+    words = lambda n: " ".join("".join(map(chr, dice.integers(97, 123, 6))) for _ in range(n))
+    for i in range(pages):
+        menu = "".join(f"<li><a href=/{words(1)}>{words(1)}</a></li>" for _ in range(dice.integers(3, 9)))
+        head, body = words(4), [words(int(dice.integers(5, 60))) for _ in range(dice.integers(1, 9))]
+        html = PLAIN.format(i=i, head=head, menu=menu, ad=words(6), foot=words(5), body="".join(f"<p>{b}</p>" for b in body))
+        yield (i, f"http://h{i % hosts}.example/{i}", html), " ".join([head, *body])
+
+
+def test_recurrence_finds_the_article_without_any_name(spark):
+    made = list(plain_pages(72, 6))
+    pages = spark.createDataFrame([r for r, _ in made], "page_id long, url string, html string")
+    for named in (True, False):
+        found = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, named=named).collect()}
+        assert np.mean([found[r[0]] == want for r, want in made]) >= 0.9
+    alone = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages.where("page_id % 6 = 0 and page_id < 36")).collect()}
+    assert len(alone) == 6 and all(alone[r[0]] != want for r, want in made if r[0] in alone)  # too few pages of the host
+
+
+def test_renamed_test_pages_give_the_same_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id is not null")
+    host = html_extract.host_of("url")
+    hosts = [r[0] for r in pages.groupBy(host.alias("h")).count().where("count >= 8").orderBy("h").limit(6).collect()]
+    pages = pages.where(host.isin(hosts))
+    html = F.col("html")
+    for old, new in (("<article>", '<div class="k9">'), ("</article>", "</div>"), ("<nav>", '<div class="q7">'), ("</nav>", "</div>"), ("<footer>", '<div class="z">'), ("</footer>", "</div>"), ('class="ad"', 'class="b2"')):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    want = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages.withColumn("html", html), named=False).collect()}
+    assert np.mean([found[p] == want[p] for p in want]) >= 0.9
+
+
+def test_templates_at_exactly_the_share_go(spark):
+    page = lambda i, note: f"<html><body><div class=w>{note}<article><p>Text {i} alone.</p></article></div></body></html>"
+    note = "<section>Same words everywhere</section>"
+    rows = [(i, f"http://t.example/{i}", page(i, note if i < 8 else "")) for i in range(80)] * 2
+    marks = html_extract.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(marks) == 1 and marks[0]["_h_rows"] == 160 and 0.1 in marks[0]["_h_shares"]
+
+
 def test_pages_keep_their_articles(spark):
     rows = queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/pages.parquet").count()
