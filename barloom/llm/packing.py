@@ -3,8 +3,13 @@
 Every item needs tokens, segments and loss-bearing tokens; a sequence has a limit on each. The dot-product heuristic
 fills one sequence at a time: among the items that still fit, it takes the one whose demand vector has the largest
 weighted inner product with what is left of the sequence. Items are packed in windows inside each task, so nothing is
-shuffled: sequences that a window leaves unfilled go back to the pool, and what remains at the end of a task is cut
-into sequences whose lengths are powers of two, which need no padding.
+shuffled. Short items are bundled first, so that a window always has the tokens of several sequences. Sequences that a
+window leaves unfilled go back to the pool; if they become too many, the fullest is topped up with a cut of another,
+and where another limit than that on tokens closes a sequence, it is cut to a power of two, which needs no padding. So
+is what remains at the end of a task.
+
+Documents have no segment limit by default and bear loss on each token; ``pack_conversations`` packs instruction data,
+where turns are segments and only the assistant's tokens bear loss.
 
 Defined cases: a null text is empty and gives just the end token; repeated rows are separate documents; ties go to the
 item that came first; an empty table gives an empty result; columns other than doc_id and text are not read.
@@ -21,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
 
-LENGTH, SEGMENTS, END_ID = 2048, 512, 1
-#: Items packed together; sequences with at most SLACK free tokens count as full.
-WINDOW, SLACK = 512, 8
+LENGTH, END_ID = 2048, 1
+#: Items packed together; sequences with at most SLACK free tokens count as full; tokens of a bundle of short items.
+WINDOW, SLACK, BUNDLE = 512, 8, 64
 #: Entries of a task's cache from white-space-delimited chunk to ids.
 CACHE = 600_000
 VOCABULARY = "word_bpe_49k.json"
@@ -144,83 +152,140 @@ def fill(need: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 Piece = tuple[int | None, int, bytes, int]  # doc_id, ids of its document before it, its ids, ids of its document
 
 
-def powers(pieces: Iterable[Piece], length: int, segments: int) -> Iterator[list[Piece]]:
-    """Sequences of ``length`` ids from pieces in order, cut where needed; the rest in lengths that are powers of two."""
-
-    def cut(run: list[Piece], total: int) -> Iterator[list[Piece]]:
-        while total:
-            size, mine = 1 << (total.bit_length() - 1), []
-            total, left = total - size, size
-            while left:
-                doc, start, ids, all_ids = run.pop(0)
-                if len(ids) // 4 > left:
-                    run.insert(0, (doc, start + left, ids[4 * left :], all_ids))
-                    ids = ids[: 4 * left]
-                mine.append((doc, start, ids, all_ids))
-                left -= len(ids) // 4
-            yield mine
-
-    run, total = [], 0
-    for doc, start, ids, all_ids in pieces:
-        while ids:
-            part = ids[: 4 * (length - total)]
-            run.append((doc, start, part, all_ids))
-            total, start, ids = total + len(part) // 4, start + len(part) // 4, ids[len(part) :]
-            if total == length:
-                yield run
-                run, total = [], 0
-            elif len(run) == segments:
-                yield from cut(run, total)
-                run, total = [], 0
-    yield from cut(run, total)
+def cut_piece(piece: Piece, n: int) -> tuple[Piece, Piece | None]:
+    """The first ``n`` ids of a piece, and the rest if there is any."""
+    doc, start, ids, count = piece
+    return (doc, start, ids[: 4 * n], count), (doc, start + n, ids[4 * n :], count) if len(ids) > 4 * n else None
+
+
+def tokens(pieces: Iterable[Piece]) -> int:
+    return sum(len(p[2]) for p in pieces) // 4
 
 
 class SequencePacker:
-    """Takes documents' ids and yields sequences, each a list of pieces."""
+    """Takes documents' ids and yields sequences, each a list of pieces, under limits on tokens, segments and loss tokens.
 
-    def __init__(self, length: int = LENGTH, segments: int = SEGMENTS, loss: Callable[[bytes], int] | None = None, loss_limit: int | None = None):
-        self.length, self.segments, self.loss = length, segments, loss or (lambda ids: len(ids) // 4)
-        self.limits, self.pool = np.array([length, segments, loss_limit or length], float), []
+    ``loss`` counts the loss-bearing tokens of a piece's ids; a part of a piece may not bear more than the whole.
+    """
+
+    def __init__(self, length: int = LENGTH, segments: int | None = None, loss: Callable[[bytes], int] | None = None, loss_limit: int | None = None):
+        self.length, self.segments, self.loss = length, segments or length, loss or (lambda ids: len(ids) // 4)
+        self.loss_limit = loss_limit or length
+        self.limits = np.array([length, self.segments, self.loss_limit], float)
+        self.pool: list[list[Piece]] = []
+        self.bundle: list[Piece] = []
+        self.held = 0
+
+    def need(self, pieces: list[Piece]) -> tuple[int, int, int]:
+        return tokens(pieces), len(pieces), sum(self.loss(p[2]) for p in pieces)
 
     def add(self, doc: int | None, ids: bytes) -> Iterator[list[Piece]]:
-        count, step = len(ids) // 4, self.length * 4
-        for at in range(0, len(ids) - step + 1, step):
-            yield [(doc, at // 4, ids[at : at + step], count)]
-        if rest := len(ids) % step:
-            self.pool.append((doc, count - rest // 4, ids[len(ids) - rest :], count))
+        rest: Piece | None = (doc, 0, ids, len(ids) // 4)
+        while rest and len(rest[2]) >= 4 * self.length:
+            part, rest = self.fitting(rest, self.length)
+            if len(part[2]) == 4 * self.length:
+                yield [part]
+            else:
+                self.pool.append([part])
+        while rest:
+            part, rest = self.fitting(rest, self.length)
+            self.put(part)
         if len(self.pool) >= WINDOW:
             yield from self.window()
 
-    def bins(self) -> list[tuple[int, list[Piece]]]:
-        need = np.array([[len(p[2]) // 4, 1, self.loss(p[2])] for p in self.pool], float)
-        return [(sum(len(self.pool[i][2]) for i in b) // 4, [self.pool[i] for i in b]) for b in fill(need, self.limits)]
+    def fitting(self, piece: Piece, n: int) -> tuple[Piece, Piece | None]:
+        """At most ``n`` ids of a piece that keep to the loss limit, and the rest."""
+        part, rest = cut_piece(piece, n)
+        while self.loss(part[2]) > self.loss_limit and n > 1:
+            n = min(n, len(part[2]) // 4) // 2
+            part, rest = cut_piece(piece, n)
+        return part, rest
+
+    def put(self, piece: Piece) -> None:
+        if len(piece[2]) >= 4 * BUNDLE:
+            self.pool.append([piece])
+            return
+        if self.bundle and (np.array(self.need([*self.bundle, piece])) > self.limits).any():
+            self.pool.append(self.bundle)
+            self.bundle, self.held = [], 0
+        self.bundle.append(piece)
+        self.held += len(piece[2]) // 4
+        if self.held >= BUNDLE or 8 * len(self.bundle) >= self.segments:
+            self.pool.append(self.bundle)
+            self.bundle, self.held = [], 0
+
+    def bins(self) -> Iterator[tuple[int, list[list[Piece]]]]:
+        need = np.array([self.need(item) for item in self.pool], float)
+        for mine in fill(need, self.limits):
+            items = [self.pool[i] for i in mine]
+            yield sum(map(tokens, items)), items
 
     def window(self) -> Iterator[list[Piece]]:
         """Sequences that came out full; the items of the others stay, but for the fullest if those were too many."""
         left = []
-        for used, pieces in self.bins():
+        for used, items in self.bins():
             if used >= self.length - SLACK:
-                yield pieces
+                yield [p for item in items for p in item]
             else:
-                left.append((used, pieces))
+                left.append((used, items))
         left.sort(key=lambda x: -x[0])
-        while sum(len(p) for _, p in left) > WINDOW // 2:
-            yield left.pop(0)[1]
-        self.pool = [p for _, pieces in left for p in pieces]
+        loose: list[Piece] = []
+        while left and sum(len(items) for _, items in left) + len(loose) > WINDOW // 2:
+            pieces = [p for item in left.pop(0)[1] for p in item]
+            if not loose and left:
+                loose = [p for item in left.pop()[1] for p in item]
+            done = list(self.close(pieces, loose))
+            yield done[0]
+            loose += [p for more in done[1:] for p in more]
+        self.pool = [item for _, items in left for item in items if len(item) > 1]
+        for piece in [item[0] for _, items in left for item in items if len(item) == 1] + loose:
+            self.put(piece)
+
+    def close(self, pieces: list[Piece], donors: list[Piece]) -> Iterator[list[Piece]]:
+        """``pieces`` filled up with cuts of ``donors`` (which are used up from the end), then, if still short, the
+        largest power of two of its ids, and after it what that leaves."""
+        used, segments, loss = self.need(pieces)
+        while used < self.length and donors and segments < self.segments:
+            part, rest = cut_piece(donors.pop(), self.length - used)
+            if loss + self.loss(part[2]) > self.loss_limit:
+                donors.append(part if rest is None else (part[0], part[1], part[2] + rest[2], part[3]))
+                break
+            pieces.append(part)
+            used, segments, loss = used + len(part[2]) // 4, segments + 1, loss + self.loss(part[2])
+            if rest:
+                donors.append(rest)
+        if used >= self.length - SLACK or used & (used - 1) == 0:
+            yield pieces
+            return
+        size, mine, queue = 1 << (used.bit_length() - 1), [], pieces[::-1]
+        while size:
+            part, rest = cut_piece(queue.pop(), size)
+            mine.append(part)
+            size -= len(part[2]) // 4
+            if rest:
+                queue.append(rest)
+        yield mine
+        yield queue[::-1]
 
     def finish(self) -> Iterator[list[Piece]]:
-        if self.pool:
-            rest = []
-            for used, pieces in self.bins():
-                if used >= self.length - SLACK:
-                    yield pieces
-                else:
-                    rest += pieces
-            yield from powers(rest, self.length, self.segments)
-        self.pool = []
-
-
-def pack_documents(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, path: str | None = None, with_ids: bool = False) -> DataFrame:
+        """All that is left, in lengths that are full or powers of two."""
+        if self.bundle:
+            self.pool.append(self.bundle)
+        rest = []
+        for used, items in self.bins() if self.pool else ():
+            pieces = [p for item in items for p in item]
+            if used >= self.length - SLACK:
+                yield pieces
+            else:
+                rest += pieces
+        self.pool, self.bundle, self.held = [], [], 0
+        while rest:
+            done = list(self.close([rest.pop()], rest))
+            yield done[0]
+            rest += [p for more in done[1:] for p in more]
+
+
+def pack_documents(docs: DataFrame, length: int = LENGTH, segments: int | None = None, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, the ids."""
     path = path or vocabulary_path()
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -262,19 +327,81 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, segments: int = SEGMEN
 def pack_examples(examples: DataFrame, key: str, demands: list[str], limits: list[float]) -> DataFrame:
     """Place whole examples, say chat turns, under simultaneous limits: columns ``key``, bin_id.
 
-    Null demands count as 0. An example that alone exceeds a limit can't be placed whole: its bin_id is null.
+    Examples are packed in windows of a task's rows, across batches; bins that are less than nine tenths full in every
+    demand go back to the pool until the task ends. Null demands count as 0. An example that alone exceeds a limit can't
+    be placed whole: its bin_id is null.
     """
     kind = examples.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, base, made = np.array(limits, float), TaskContext.get().partitionId() << 33, 0
+        names, pool = [], np.zeros((0, len(demands)))
+
+        def settle(last: bool) -> pa.RecordBatch:
+            nonlocal made, names, pool
+            keys, bins, stay = [], [], []
+            for mine in fill(pool, top):
+                full = (pool[mine].sum(axis=0) >= 0.9 * top).any()
+                if not last and not full:
+                    stay.append(mine)
+                    continue
+                keys += [names[i] for i in mine]
+                bins += [base + made] * len(mine)
+                made += 1
+            stay.sort(key=lambda mine: -(pool[mine].sum(axis=0) / top).max())
+            while sum(map(len, stay)) > WINDOW // 2:
+                mine = stay.pop(0)
+                keys += [names[i] for i in mine]
+                bins += [base + made] * len(mine)
+                made += 1
+            left = [i for mine in stay for i in mine]
+            names, pool = [names[i] for i in left], pool[left]
+            return pa.record_batch([pa.array(keys, key_type), pa.array(bins, pa.int64())], names=["key", "bin_id"])
+
+        key_type = None
         for batch in batches:
+            key_type = batch.schema.field(0).type
             need = np.stack([np.nan_to_num(batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float)) for i in range(len(demands))], axis=1) if batch.num_rows else np.zeros((0, len(demands)))
-            fits, found = np.flatnonzero((need <= top).all(axis=1)), [None] * batch.num_rows
-            for mine in fill(need[fits], top):
-                for i in mine:
-                    found[fits[i]] = base + made
-                made += 1
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["key", "bin_id"])
+            fits, own = (need <= top).all(axis=1), batch.column(0).to_pylist()
+            large = np.flatnonzero(~fits)
+            if len(large):
+                yield pa.record_batch([batch.column(0).take(pa.array(large)), pa.nulls(len(large), pa.int64())], names=["key", "bin_id"])
+            small = np.flatnonzero(fits)
+            for at in range(0, len(small), WINDOW):
+                part = small[at : at + WINDOW]
+                names, pool = names + [own[i] for i in part], np.concatenate([pool, need[part]])
+                if len(names) >= WINDOW:
+                    yield settle(False)
+        if names:
+            yield settle(True)
 
     return examples.select(key, *(examples[d].cast("double") for d in demands)).mapInArrow(place, f"key {kind}, bin_id long").withColumnRenamed("key", key)
+
+
+def conversation_demands(turns: DataFrame, path: str | None = None) -> DataFrame:
+    """Per conv_id: tokens (an end id after each turn), turns, and loss_tokens (those of the assistant's turns).
+
+    Null texts are empty and null roles bear no loss; rows with a null conv_id are one conversation.
+    """
+    path = path or vocabulary_path()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
+        for batch in batches:
+            found = [len(encode(text.as_py() or "")) // 4 + 1 for text in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["conv_id", "role", "n"])
+
+    sized = turns.selectExpr("cast(conv_id as long) as conv_id", "role", "text").mapInArrow(count, "conv_id long, role string, n long")
+    loss = F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0))
+    return sized.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("turns"), loss.alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, length: int = LENGTH, segments: int = 16, loss_limit: int = 1536, path: str | None = None) -> DataFrame:
+    """Whole conversations in bins of at most ``length`` tokens, ``segments`` turns and ``loss_limit`` loss-bearing tokens.
+
+    One row per conv_id: conv_id, tokens, turns, loss_tokens, bin_id (null for one that exceeds a limit by itself).
+    """
+    sized = materialize(conversation_demands(turns, path), "pack-demands")
+    placed = pack_examples(sized, "conv_id", ["tokens", "turns", "loss_tokens"], [length, segments, loss_limit])
+    bins = placed.select(F.col("conv_id").alias("_conv"), "bin_id")
+    return sized.join(bins, sized["conv_id"].eqNullSafe(bins["_conv"])).select("conv_id", "tokens", "turns", "loss_tokens", "bin_id")

@@ -21,6 +21,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("kept", "kept_sha256")
 
@@ -64,6 +68,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
+    "pack_conversations": pack_conversations,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,

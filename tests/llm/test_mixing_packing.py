@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from corpus_cases import by_sql, clashing, corpus, documents, plain
+from pyspark.sql import functions as F
 
 from barloom.llm import mixing, packing, queries
 
@@ -79,7 +80,7 @@ def round_trip(rows, docs: dict[tuple, int]) -> None:
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
-        assert at <= 2048 and len(pieces) <= packing.SEGMENTS
+        assert at <= 2048 and len(pieces) <= 2048
         used, padded = used + at, padded + (at if at & (at - 1) == 0 else 2048)
     assert padded <= 1.02 * used
 
@@ -118,3 +119,66 @@ def test_examples_keep_every_limit(spark):
     least = max(sum((x[k] or 0) for x in need[:400]) / limits[k - 1] for k in (1, 2, 3))
     assert len(bins) <= 1.25 * least
 
+
+
+def packed(sizes, **limits):
+    packer, out = packing.SequencePacker(**limits), []
+    for i, n in enumerate(sizes):
+        out += packer.add(i, np.full(n, i, "<u4").tobytes())
+    out += packer.finish()
+    seen = defaultdict(list)
+    for pieces in out:
+        for doc, start, ids, count in pieces:
+            assert count == sizes[doc] and len(ids) > 0
+            seen[doc].append((start, len(ids) // 4))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(seen[i]):
+            assert start == at
+            at += length
+        assert at == n
+    return out
+
+
+def padding(sequences, length: int = 2048) -> float:
+    used = [packing.tokens(s) for s in sequences]
+    assert max(used) <= length
+    return sum(0 if n & (n - 1) == 0 else length - n for n in used) / sum(used)
+
+
+@pytest.mark.parametrize("sizes", [[1], [2], [3], [5], [1, 2, 3, 4, 5], [1, 700], [1500], [1030], [3, 2047], [64, 63]])
+def test_short_documents_are_packed_with_little_padding(sizes):
+    dice = np.random.default_rng(2)
+    assert padding(packed(dice.choice(sizes, 20_000 if max(sizes) < 100 else 3000).tolist())) < 0.02
+
+
+def test_a_million_short_documents_are_little_padded():
+    assert padding(packed(np.random.default_rng(5).integers(1, 6, 1_000_000).tolist())) < 0.02
+
+
+def test_segment_and_loss_limits_hold():
+    sizes = np.random.default_rng(3).integers(1, 60, 4000).tolist()
+    loss = lambda ids: int((np.frombuffer(ids, "<u4") % 3 > 0).sum())
+    found = packed(sizes, segments=48, loss=loss, loss_limit=1200)
+    assert all(len(s) <= 48 and sum(loss(p[2]) for p in s) <= 1200 for s in found)
+    assert padding(found) < 0.02
+
+
+def test_conversations_keep_tokens_turns_and_loss(spark):
+    rows = [(i, t, ["system", "user", "assistant", None][(i + t) % 4], "word " * ((7 * i + t) % 90)) for i in range(300) for t in range(i % 6 + 1)]
+    rows += [(None, 0, "user", None), (None, None, None, "x"), (900, 0, "assistant", "word " * 5000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"tokens": F.lit("x"), "bin_id": F.lit(1)})
+    found, encode = packing.pack_conversations(turns).collect(), packing.encoder(packing.vocabulary_path()).encode
+    want = defaultdict(lambda: [0, 0, 0])
+    for conv, _, role, text in rows:
+        n = len(encode(text or "")) // 4 + 1
+        want[conv] = [a + b for a, b in zip(want[conv], (n, 1, n if role == "assistant" else 0), strict=True)]
+    assert {r["conv_id"]: [r["tokens"], r["turns"], r["loss_tokens"]] for r in found} == want and len(found) == len(want)
+    bins = defaultdict(lambda: np.zeros(3))
+    for r in found:
+        if r["bin_id"] is None:
+            assert r["tokens"] > 2048 or r["turns"] > 16 or r["loss_tokens"] > 1536
+        else:
+            bins[r["bin_id"]] += [r["tokens"], r["turns"], r["loss_tokens"]]
+    assert all((b <= [2048, 16, 1536]).all() for b in bins.values())
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
