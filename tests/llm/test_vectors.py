@@ -67,6 +67,42 @@ def test_a_queue_opens_every_leaf_once():
     assert sorted(opened) == list(range(ann.TREES * 16))
 
 
+def test_deep_trees_open_few_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "DEPTH", 4)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    dice = np.random.default_rng(9)
+    x = np.repeat(dice.standard_normal((400, 16)), 15, axis=0) + 0.2 * dice.standard_normal((6000, 16))  # depth 8
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found, hits = ann.search(frame, F.col("vec_id") % 100 == 0).toPandas(), 0
+    for q in range(0, 6000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(found["vec_id"][found["query_id"] == q]))
+    assert hits >= 0.9 * 60 * 20
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(1, 30)] + [(0, [5.0, 1.0], 0), (0, [-9.0, 1.0], 0), (40, [1.0, 2.0, 3.0], 0), (41, [1.0, 0.0, 1.0], 0)]
+    found = ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 40] == [(41, 4.0)]
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 0] == list(range(1, 21))  # the least vector, (-9, 1), asks
+
+
+def test_settling_a_dense_group_counts_all_links():
+    dice = np.random.default_rng(6)
+    x = np.concatenate([dice.standard_normal((1, 12)) + 0.08 * dice.standard_normal((900, 12)), dice.standard_normal((900, 12))])[dice.permutation(1800)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    weight = dice.integers(1, 4, 1800)
+    linked, low = embed_dedup.settle(x, weight, 0.93, 256)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert (linked == near @ weight).all()
+    reach = np.arange(1800)
+    while (new := np.minimum(reach, np.where(near, reach[None, :], 1800).min(axis=1))).tolist() != reach.tolist():
+        reach = new
+    assert (low == reach).all()
+
+
 def brute_links(rows: list[tuple]) -> dict[int, tuple[int, int, bool]]:
     ids = [r[0] for r in rows]
     x = {r[0]: np.array(r[1], np.float32).astype(np.float64) for r in rows if r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1]) and r[2] is not None}
