@@ -3,13 +3,15 @@
 The exact table has one row per (key, document), so inserting documents adds rows, deleting documents removes them, and
 every count follows. Each shard of keys also has a cuckoo filter, a few bits per key, that answers "surely not present"
 without touching the exact table: only keys that the filter may hold go on to the exact join. Filters take deletions as
-well, so they never have to be rebuilt from the corpus.
+well. The number of shards follows the keys: when they outgrow their shards, filters are made anew from the reference
+table with more of them. ``dedup_lines`` builds an index of half the documents, inserts the other half and reads the
+counts from it.
 
 A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased. Keys of at least ``min_chars``
 code points in at least ``min_docs`` documents lose all their lines, except in the largest doc_id that holds them.
 
 Defined cases: a null or empty text is one empty line; rows whose doc_id is null belong to no document, so they neither
-count nor lose lines; repeated rows with one doc_id count as one document; an empty table gives an empty result; columns
+count nor lose lines; repeated rows with one doc_id count as one document, and so does a document inserted twice; an empty table gives an empty result; columns
 other than doc_id and text are passed through (internal ones start with ``_ld_``).
 """
 
@@ -27,8 +29,8 @@ from .common import hash128, materialize, small, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Shards of the filters, and lines that one task looks up at a time.
-SHARDS, LINES_PER_TASK = 64, 200_000
+#: Keys of a shard, and lines that one task looks up at a time.
+SHARD_KEYS, LINES_PER_TASK = 1 << 18, 200_000
 SLOTS, KICKS, LOAD = 4, 200, 0.85
 
 
@@ -118,16 +120,19 @@ class CuckooFilter:
         """Take out one copy of each key's fingerprint; keys must have been inserted. Larger segments come first: a key that
         shares a mark and bucket there shares them in the smaller ones too, so no other key is lost."""
         mark, at, jump = self.marks(h1, h2)
-        for m, a, j in zip(mark, at, jump, strict=True):
-            for table in reversed(self.segments):
-                mask = np.uint64(len(table) - 1)
-                for bucket in (int(a & mask), int((a & mask) ^ (j & mask))):
-                    if len(slot := np.flatnonzero(table[bucket] == m)):
-                        table[bucket, slot[0]] = 0
-                        break
-                else:
-                    continue
-                break
+        for table in reversed(self.segments):
+            mask = np.uint64(len(table) - 1)
+            for flip in (np.uint64(0), mask):
+                bucket = (at & mask) ^ (jump & flip)
+                left, here = np.ones(len(mark), bool), np.arange(len(mark))
+                while len(here):  # keys that share a bucket take turns
+                    found = table[bucket[here]] == mark[here][:, None]
+                    here, found = here[found.any(axis=1)], found[found.any(axis=1)]
+                    first = np.unique(bucket[here], return_index=True)[1]
+                    table[bucket[here[first]], found[first].argmax(axis=1)] = 0
+                    left[here[first]] = False
+                    here = np.delete(here, first)
+                mark, at, jump = mark[left], at[left], jump[left]
 
     def to_rows(self) -> list[bytes]:
         return [t.tobytes() for t in self.segments]
@@ -143,57 +148,74 @@ def line_key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Long enough lines: doc_id, _ld_text (hash of the row's text), pos, h1, h2, shard."""
+    """Long enough lines: doc_id, _ld_text (hash of the row's text), pos, h1, h2."""
     text = text_or_empty("text")
     lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("_ld_text"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     key = line_key(F.col("line"))
     h1, h2 = hash128(F.col("key"))
     lines = lines.select("doc_id", "_ld_text", "pos", key.alias("key")).where(F.length("key") >= min_chars)
-    return lines.select("doc_id", "_ld_text", "pos", h1.alias("h1"), h2.alias("h2"), F.pmod(F.shiftrightunsigned(h2, 20), F.lit(SHARDS)).cast("int").alias("shard"))
+    return lines.select("doc_id", "_ld_text", "pos", h1.alias("h1"), h2.alias("h2"))
+
+
+def in_shards(keys: DataFrame, shards: int) -> DataFrame:
+    return keys.withColumn("shard", F.pmod(F.shiftrightunsigned("h2", 20), F.lit(shards)).cast("int"))
 
 
 @dataclass
 class LineIndex:
-    """``references``: shard, h1, h2, doc_id, one row each. ``filters``: shard, segments (the cuckoo filter's tables)."""
+    """``references``: h1, h2, doc_id, one row each. ``filters``: shard, segments (the cuckoo filter's tables), ``shards`` of
+    them for about ``keys`` keys."""
 
     references: DataFrame
     filters: DataFrame
+    shards: int
+    keys: int
 
     @classmethod
     def build(cls, lines: DataFrame) -> LineIndex:
-        references = lines.select("shard", "h1", "h2", "doc_id").distinct()
-        keys = references.select("shard", "h1", "h2").distinct()
-        return cls(references, materialize(_change(keys, None, "insert"), "line-filters"))
+        return cls._of(materialize(lines.select("h1", "h2", "doc_id").distinct(), "line-references"))
+
+    @classmethod
+    def _of(cls, references: DataFrame) -> LineIndex:
+        keys = materialize(references.select("h1", "h2").distinct(), "line-keys")
+        count = keys.count()
+        shards = -(-count // SHARD_KEYS) or 1
+        return cls(references, materialize(_change(in_shards(keys, shards), None, "insert"), "line-filters"), shards, count)
 
     def insert(self, lines: DataFrame) -> LineIndex:
-        """Add the lines of new documents. Keys that the filter surely lacks skip the exact lookup."""
-        new = materialize(lines.select("shard", "h1", "h2", "doc_id").distinct(), "line-new")
-        keys = new.select("shard", "h1", "h2").distinct()
+        """Add the lines of documents. Keys that the filter surely lacks skip the exact lookup."""
+        new = materialize(lines.select("h1", "h2", "doc_id").distinct(), "line-new")
+        keys = materialize(new.select("h1", "h2").distinct(), "line-keys")
         maybe = self.maybe(keys)
-        fresh = keys.join(maybe, ["shard", "h1", "h2"], "left_anti").unionByName(maybe.join(self.references, ["shard", "h1", "h2"], "left_anti"))
-        filters = materialize(_change(fresh, self.filters, "insert"), "line-filters")
-        return LineIndex(materialize(self.references.unionByName(new).distinct(), "line-references"), filters)
+        known = materialize(maybe.join(self.references, ["h1", "h2"], "left_semi"), "line-known")
+        fresh = materialize(keys.join(known, ["h1", "h2"], "left_anti"), "line-fresh")
+        count = self.keys + fresh.count()
+        references = self.references.unionByName(new).distinct()
+        if count > 2 * SHARD_KEYS * self.shards:
+            return self._of(materialize(references, "line-references"))
+        return LineIndex(references, materialize(_change(in_shards(fresh, self.shards), self.filters, "insert"), "line-filters"), self.shards, count)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Forget documents: keys that no other document holds leave the filters too."""
         gone = doc_ids.select("doc_id").distinct()
-        left = materialize(self.references.join(gone, "doc_id", "left_anti"), "line-references")
-        lost = self.references.join(gone, "doc_id", "left_semi").select("shard", "h1", "h2").distinct()
-        lost = lost.join(left, ["shard", "h1", "h2"], "left_anti")
-        return LineIndex(left.select("shard", "h1", "h2", "doc_id"), materialize(_change(lost, self.filters, "delete"), "line-filters"))
+        left = materialize(self.references.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id"), "line-references")
+        lost = self.references.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct()
+        lost = materialize(lost.join(left, ["h1", "h2"], "left_anti"), "line-lost")
+        filters = materialize(_change(in_shards(lost, self.shards), self.filters, "delete"), "line-filters")
+        return LineIndex(left, filters, self.shards, self.keys - lost.count())
 
     def counts(self) -> DataFrame:
-        return self.references.groupBy("shard", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        return self.references.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         return self.counts().where(F.col("n_docs") >= min_docs)
 
     def maybe(self, keys: DataFrame) -> DataFrame:
-        return _maybe(keys, self.filters)
+        return _maybe(in_shards(keys, self.shards), self.filters).drop("shard")
 
 
 def _change(keys: DataFrame, filters: DataFrame | None, how: str) -> DataFrame:
-    """Filters after inserting or deleting distinct ``keys``: one bounded shard of keys per group."""
+    """Filters after inserting or deleting distinct ``keys`` (with their shard): one shard, of about SHARD_KEYS keys, per group."""
 
     def build(group: tuple, mine: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:
         found = CuckooFilter.from_rows(list(old["segments"].iloc[0])) if old is not None and len(old) else CuckooFilter(capacity=2 * len(mine))
@@ -226,13 +248,16 @@ def _maybe(rows: DataFrame, filters: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, _ld_text and the positions of the lines that go.
 
-    The reference counts give the repeated keys; a filter of just those keys sorts out most lines before the exact join.
+    The index's reference counts give the repeated keys; a filter of just those sorts out most lines before the exact join.
     """
     lines = materialize(lines_of(docs, min_chars), "lines")
-    index = LineIndex(lines.select("shard", "h1", "h2", "doc_id").distinct(), None)
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    index = LineIndex.build(lines.where(early)).insert(lines.where(~early))
     repeated = materialize(index.repeated(min_docs), "line-repeated")
-    repeated_filters = materialize(_change(repeated.select("shard", "h1", "h2"), None, "insert"), "line-filters")
-    hits = _maybe(lines, repeated_filters).join(small(repeated.select("h1", "h2", "keeper"), repeated.count()), ["h1", "h2"]).where("doc_id <> keeper")
+    count = repeated.count()
+    shards = -(-count // SHARD_KEYS) or 1
+    filters = materialize(_change(in_shards(repeated.select("h1", "h2"), shards), None, "insert"), "line-filters")
+    hits = _maybe(in_shards(lines, shards), filters).join(small(repeated.select("h1", "h2", "keeper"), count), ["h1", "h2"]).where("doc_id <> keeper")
     return hits.groupBy("doc_id", "_ld_text").agg(F.collect_set("pos").alias("_ld_gone"))
 
 

@@ -104,8 +104,23 @@ def test_index_forgets_what_it_learned(spark):
     assert rows(both) == rows(line_dedup.LineIndex.build(line_dedup.lines_of(docs)))
     back = both.delete(new.select("doc_id"))
     assert rows(back) == rows(index)
-    every = line_dedup.lines_of(old).select("shard", "h1", "h2").distinct()
-    assert back.maybe(every).count() == every.count()
+    every = line_dedup.lines_of(old).select("h1", "h2").distinct()
+    assert back.maybe(every).count() == every.count() == back.keys
+    again = both.insert(line_dedup.lines_of(old))  # known documents change nothing
+    assert rows(again) == rows(both) and again.keys == both.keys
+    assert rows(back.insert(line_dedup.lines_of(new))) == rows(both)
+
+
+def test_shards_follow_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    lines = lambda a, b: line_dedup.lines_of(spark.createDataFrame([(i, f"a line of number {i} that is long enough") for i in range(a, b)], "doc_id long, text string"))
+    index = line_dedup.LineIndex.build(lines(0, 60))
+    grown = index.insert(lines(60, 300))
+    assert (index.shards, grown.shards, grown.keys) == (3, 15, 300)
+    assert grown.maybe(lines(0, 300).select("h1", "h2")).count() == 300
+    less = grown.delete(spark.range(0, 250).withColumnRenamed("id", "doc_id"))
+    assert less.keys == 50 and less.maybe(lines(250, 300).select("h1", "h2")).count() == 50
+    assert less.maybe(lines(0, 250).select("h1", "h2")).count() < 10
 
 
 def brute_classes(rows: list[tuple], similarity: float) -> dict:
