@@ -3,7 +3,9 @@
 Every string of ``LENGTH`` bytes has one anchor: the ``GRAM``-byte gram in it with the smallest hash. Equal strings have
 equal anchors, so strings can be dealt to shards by anchor hash and still meet all their copies.
 
-1. Each document's anchors go to buckets, which find the anchors that occur in two documents or more.
+1. Each document's anchors go to buckets, which find the anchors that occur in two documents or more. Those that do within
+   what a task holds at a time are known to, so they go straight to their documents' groups, and their bucket gets just
+   two of them from each such batch: a bucket's rows grow with the batches that hold an anchor, not with its copies.
 2. Those anchors go back to their documents, grouped; each group cuts out the context of every such anchor (all the
    strings it stands for) and sends each distinct context once, with its smallest doc_id, to the anchor's shard.
 3. A shard concatenates its contexts and builds their suffix array: suffixes are classified, leftmost-smaller (LMS)
@@ -11,8 +13,8 @@ equal anchors, so strings can be dealt to shards by anchor hash and still meet a
    common prefixes tell which neighbours share ``LENGTH`` bytes; each run of such neighbours has a smallest doc_id.
 4. That id goes back, for each start in a context, to the groups that asked, which mark what each document loses.
 
-Texts and messages travel compressed. No group of rows grows with the copies of one string: a group of documents sends
-a context once, however many of its documents hold it.
+Texts and messages travel compressed. A group of documents sends a context once, however many of its documents hold it;
+a shard's size does grow with the different contexts of one anchor.
 
 Defined cases: null texts are empty; rows with a null doc_id neither lose bytes nor make others lose any; rows that
 repeat a doc_id are one document, so they don't make each other lose bytes; texts shorter than ``LENGTH`` bytes stay;
@@ -215,20 +217,30 @@ def _segments(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _send_anchors(frames: Iterator[pd.DataFrame], buckets: int, length: int, gram: int) -> Iterator[pd.DataFrame]:
-    """Messages (bucket, blob): row key, doc_id and row of each anchor, its hash, first start and number of starts."""
+    """Messages (bucket, blob): row key, doc_id and row of each anchor, its hash, first start and number of starts, and
+    whether its group knows it already. Bucket -1 - g has what is for group g, in the form of ``_shared_anchors``."""
     keys, docs, parts, held = [], [], [], 0
 
     def out() -> pd.DataFrame:
         mark, row, first, count, off = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        bucket = (mark % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        key, doc = np.array(keys), np.array(docs)
+        order = np.lexsort((doc[row], mark))
+        cuts = np.flatnonzero(np.diff(mark[order], prepend=~mark[order[:1]]))
+        ends = np.append(cuts[1:], len(order)) - 1
+        many = doc[row[order[cuts]]] != doc[row[order[ends]]] if len(order) else np.zeros(0, bool)
+        shared = order[np.repeat(many, ends - cuts + 1)]
+        told = np.zeros(len(mark), bool)
+        told[shared] = True
+        send = np.concatenate([order[np.repeat(~many, ends - cuts + 1)], order[cuts[many]], order[ends[many]]])
+        bucket = (mark[send] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
         blobs = []
-        for mine in np.split(order, cuts):
+        for mine in np.split(send[by], np.flatnonzero(np.diff(bucket[by])) + 1) if len(send) else ():
             rows, own = np.unique(row[mine], return_inverse=True)
             h = (mark[mine] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            blobs.append(_pack(np.array(keys)[rows], np.array(docs)[rows], h, own.astype(np.uint32), first[mine].astype(np.int64 if first.max() >> 31 else np.int32), count[mine].astype(np.uint8), off[mine].astype(np.uint8)))
-        frame = pd.DataFrame({"bucket": bucket[order][np.concatenate([[0], cuts])] if len(order) else [], "blob": blobs if len(order) else []})
+            blobs.append(_pack(key[rows], doc[rows], h, own.astype(np.uint32), first[mine].astype(np.int64 if first.max() >> 31 else np.int32), count[mine].astype(np.uint8), off[mine].astype(np.uint8), told[mine]))
+        straight = _to_groups(key[row[shared]], first[shared], count[shared].astype(np.uint8), off[shared].astype(np.uint8), buckets)
+        frame = pd.DataFrame({"bucket": np.concatenate([np.unique(bucket), -1 - straight["g"].to_numpy(np.int64)]), "blob": blobs + list(straight["blob"])})
         keys.clear(), docs.clear(), parts.clear()
         return frame
 
@@ -265,22 +277,30 @@ def _send_anchors(frames: Iterator[pd.DataFrame], buckets: int, length: int, gra
 
 def _shared_anchors(mine: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Of a bucket's anchors, those in two documents or more: messages (g, n, blob) of row key, first start, number."""
-    key, doc, mark, first, count, off = [], [], [], [], [], []
+    if (bucket := int(mine["bucket"].iloc[0])) < 0:
+        blobs = list(mine["blob"])
+        return pd.DataFrame({"g": -1 - bucket, "n": [len(_unpack(b)[0]) for b in blobs], "blob": blobs})
+    key, doc, mark, first, count, off, told = [], [], [], [], [], [], []
     for blob in mine["blob"]:
-        k, d, h, own, f, c, o = _unpack(blob)
+        k, d, h, own, f, c, o, t = _unpack(blob)
         wide = np.zeros((len(own), 8), np.uint8)
         wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
         mark.append(wide.view(np.uint64).ravel())
-        key.append(k[own]), doc.append(d[own]), first.append(f.astype(np.int64)), count.append(c), off.append(o)
-    key, doc, mark, first, count, off = map(np.concatenate, (key, doc, mark, first, count, off))
+        key.append(k[own]), doc.append(d[own]), first.append(f.astype(np.int64)), count.append(c), off.append(o), told.append(t)
+    key, doc, mark, first, count, off, told = map(np.concatenate, (key, doc, mark, first, count, off, told))
     order = np.argsort(mark, kind="stable")
     cuts = np.flatnonzero(np.diff(mark[order], prepend=~mark[order[:1]]))
     many = np.minimum.reduceat(doc[order], cuts) != np.maximum.reduceat(doc[order], cuts)
     keep = order[np.repeat(many, np.diff(np.append(cuts, len(order))))]
-    g = group_of(key[keep], groups)
+    keep = keep[~told[keep]]
+    return _to_groups(key[keep], first[keep], count[keep], off[keep], groups)
+
+
+def _to_groups(key: np.ndarray, first: np.ndarray, count: np.ndarray, off: np.ndarray, groups: int) -> pd.DataFrame:
+    g = group_of(key, groups)
     by = np.argsort(g, kind="stable")
-    parts = np.split(keep[by], np.flatnonzero(np.diff(g[by])) + 1) if len(keep) else []
-    return pd.DataFrame({"g": [int(group_of(key[p[:1]], groups)[0]) for p in parts], "n": [len(p) for p in parts], "blob": [_pack(key[p], first[p], count[p], off[p]) for p in parts]})
+    parts = np.split(by, np.flatnonzero(np.diff(g[by])) + 1) if len(key) else []
+    return pd.DataFrame({"g": np.array([g[p[0]] for p in parts], np.int64), "n": [len(p) for p in parts], "blob": [_pack(key[p], first[p], count[p], off[p]) for p in parts]})
 
 
 def group_of(key: np.ndarray, groups: int) -> np.ndarray:
@@ -294,7 +314,7 @@ def _send_texts(frames: Iterator[pd.DataFrame], groups: int) -> Iterator[pd.Data
 
 def _contexts(texts: pd.DataFrame, blobs: list[bytes], length: int) -> tuple[pd.DataFrame, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The group's texts, its distinct contexts numbered, and the row, start, context and offset of each anchor."""
-    texts = texts.drop_duplicates("rk").sort_values("rk", ignore_index=True)
+    texts = texts.drop_duplicates("rk").sort_values("rk", ignore_index=True)  # equal rk: the same row, or a chance of 1 in 2**64 a pair
     texts["raw"] = [zstandard.decompress(z) for z in texts.pop("z")]
     got = [_unpack(b) for b in blobs]
     key, first, count, off = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(4))

@@ -201,3 +201,16 @@ def test_signatures_agree_as_often_as_sets_do(share):
     cells = np.concatenate([every[:n], every[shift : shift + n]])
     marks = minhash.signatures(cells, np.repeat([0, 1], n), 2, k)
     assert abs((marks[0] == marks[1]).mean() - share) < 0.05
+
+
+def test_a_line_in_every_document_sends_few_rows_to_its_bucket():
+    dice = np.random.default_rng(1)
+    line = "this line stands in every document of the corpus, word by word and without any change at all. "
+    texts = ["".join(map(chr, dice.integers(97, 123, 60))) + line for _ in range(500)]
+    frame = suffix_dedup.pd.DataFrame({"rk": np.arange(500), "doc_id": np.arange(500), "text": texts})
+    sent = suffix_dedup.pd.concat(suffix_dedup._send_anchors(iter([frame]), 1, 50, 16))
+    kept = [suffix_dedup._unpack(b) for b in sent["blob"][sent["bucket"] == 0]]
+    mark = np.concatenate([k[2] for k in [(0, 0, np.frombuffer(x[2], np.uint8).reshape(-1, 6).copy().view("S6").ravel()) for x in kept]])
+    assert np.unique(mark, return_counts=True)[1].max() <= 2
+    shared = sum(len(suffix_dedup._unpack(b)[0]) for b in sent["blob"][sent["bucket"] < 0])
+    assert shared >= 500
