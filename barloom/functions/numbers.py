@@ -40,7 +40,7 @@ def ratio_text(x: Column) -> Column:
 
 
 def signed_percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%+.2f%%", x), F.lit("--"))
+    return F.when(x.isNull(), "--").otherwise(F.format_string("%+.2f%%", x))
 
 
 def score_from_probabilities(positive: Column, negative: Column) -> Column:

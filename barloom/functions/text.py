@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
-#: Name suffixes that security lists append, and words of instruments that aren't shares.
-NAME_SUFFIXES = ["Common Stock", "Common Shares", "Ordinary Shares", "Class A Common Stock", "Class B Common Stock", "Class C Capital Stock", "American Depositary Shares", "Depositary Shares"]
-NOT_SHARES = ["warrant", "warrants", "right", "rights", "unit", "units", "notes", "preferred", "debenture"]
+# Share classes that lists append after a hyphen, instruments that aren't shares, and white space.
+_CLASS_SUFFIX = r"(?i)\s*-\s*(Common Stock.*|Class [A-Z].*|Ordinary Shares.*|American Depositary Shares.*|Depositary Shares.*|Warrant.*|Unit.*|Preferred.*|Right.*)$"
+_NOT_SHARES = r"(?i)(\bwarrants?\b|\brights?\b|\bunits?\b|%\s*notes\b|depositary share, each)"
+_BLANKS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def compact(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of any white space, ideographic too, as one space."""
+    return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
 def normal_query(text: Column) -> Column:
@@ -58,15 +60,18 @@ def meaningful(title: Column, content: Column, junk: list[str], least: int) -> C
 
 
 def markdown_title(md: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(md, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    """The first line that starts with #, without the leading marks."""
+    lines = F.transform(F.split(md, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: compact(x))
+    first = F.get(F.filter(lines, lambda x: x.startswith("#")), F.lit(0))
+    return F.nullif(compact(F.regexp_replace(first, r"^[# ]+", "")), F.lit(""))
 
 
 def markdown_text(md: Column) -> Column:
     """Plain text: no code fences or images, links as their text, no markup characters."""
     t = F.regexp_replace(md, r"(?s)```.*?```", " ")
     t = F.regexp_replace(t, r"!\[[^\]]*\]\([^)]*\)", " ")
-    t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return compact(F.regexp_replace(t, r"[#>*_`~|]", " "))
+    t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]*\)", "$1")
+    return compact(F.regexp_replace(t, r"[`*_>#\-]", " "))
 
 
 def html_title(html: Column) -> Column:
@@ -97,14 +102,13 @@ def absolute_link(base: Column, link: Column) -> Column:
 
 
 def trimmed_name(name: Column) -> Column:
-    """A security's name without the suffixes of its share class."""
-    longest = "|".join(sorted(NAME_SUFFIXES, key=len, reverse=True))
-    return F.trim(F.regexp_replace(name, rf"(?i)\s*(-\s*)?({longest})\s*$", ""))
+    """A security's name without the share class after a hyphen."""
+    return F.btrim(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), _CLASS_SUFFIX, ""), F.lit(" -"))
 
 
 def is_share(name: Column) -> Column:
-    """No whole word of the name says warrant, right, unit or note."""
-    return ~name.rlike(rf"(?i)\b({'|'.join(NOT_SHARES)})\b")
+    """No whole word of the name says warrant, right or unit, nor does it offer notes at a percentage."""
+    return ~F.coalesce(name, F.lit("")).rlike(_NOT_SHARES)
 
 
 def ticker_root(ticker: Column) -> Column:

@@ -122,4 +122,10 @@ def currency(symbol: Column) -> Column:
 
 
 def action_status(available: Column, count: Column) -> Column:
-    return F.when(~available, "unavailable").when(count > 0, "ok").otherwise("empty")
+    """ok with any records; without, empty if the source answered, else unavailable."""
+    return F.when(count > 0, "ok").when(available, "empty").otherwise("unavailable")
+
+
+def rights_pending(symbol: Column, loading: Column) -> Column:
+    """Whether a Taiwan symbol still waits for the exchange's records."""
+    return symbol.rlike(r"\.TWO?$") & loading

@@ -95,4 +95,4 @@ def latest(df: DataFrame) -> DataFrame:
 def arrays(ind: DataFrame, columns: list[str]) -> DataFrame:
     """One row per symbol with each column as an array in time order."""
     packed = ind.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("s"))
-    return packed.select("symbol", *(F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ["ts", *columns]))
+    return packed.select("symbol", *(F.col(f"s.{c}").alias(c) for c in ["ts", *columns]))

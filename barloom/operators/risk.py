@@ -9,10 +9,16 @@ from ..functions.numbers import ratio
 from .windows import running, series
 
 #: Bars a year per interval; others count as daily.
-PER_YEAR = {"1m": 98_280, "2m": 49_140, "5m": 19_656, "15m": 6_552, "30m": 3_276, "60m": 1_638, "90m": 1_092, "1h": 1_638, "1d": 252, "5d": 52, "1wk": 52, "1mo": 12, "3mo": 4}
+PER_YEAR = {"1d": 252, "5d": 50, "1wk": 52, "1mo": 12, "3mo": 4, "1h": 1_512, "60m": 1_512, "90m": 1_008, "30m": 3_276, "15m": 6_552, "5m": 19_656, "1m": 98_280}
 RISK_FREE = 0.015
 
 
+def periods_per_year(interval: Column) -> Column:
+    """Bars a year for a column of intervals; 252 for those not listed."""
+    table = F.create_map(*(F.lit(x) for pair in PER_YEAR.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, interval), F.lit(PER_YEAR["1d"]))
+
+
 def closes(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", "close").where("close is not null")
 

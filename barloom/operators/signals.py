@@ -85,17 +85,32 @@ def market_read(signals: DataFrame) -> DataFrame:
     return df.withColumns({"score": F.round("_raw", 1), "stance": stance(F.col("_raw")), "confidence": confidence, "risk_note": risk_note()}).drop("_raw")
 
 
+# The sentences of the risk note and of a reading without data.
+_NO_RISK = "目前沒有偵測到特別突出的風險項目，但市場仍可能受突發消息影響"
+_NO_DATA = ("資料不足，無法判讀", "目前沒有足夠的歷史價格資料可以計算技術指標，請改用較長的時間區間再試一次。")
+
+
 def risk_note() -> Column:
-    """What speaks against relying on a reading."""
+    """What speaks against relying on a reading; signals conflict as soon as both directions occur."""
+    sample = F.coalesce("sample", F.lit(0))
     notes = [
-        (F.col("volatility") >= 40, "High volatility: size positions with care."),
-        (F.col("rsi14") >= 75, "Overbought: a pullback may follow."),
-        (F.col("rsi14") <= 25, "Oversold: the decline may continue."),
-        (F.col("sample") < 60, "Short history: readings are less reliable."),
-        ((F.col("bullish") >= 2) & (F.col("bearish") >= 2), "Signals conflict."),
+        (F.col("volatility") >= 40, F.format_string("年化波動度高達 %.0f%%，單日跳動幅度大", F.bround("volatility"))),
+        (F.col("rsi14") >= 75, F.lit("RSI 已進入超買區，追價風險偏高")),
+        (F.col("rsi14") <= 25, F.lit("RSI 已進入超賣區，不宜貿然摸底")),
+        (sample < 60, F.concat(F.lit("歷史資料僅 "), sample.cast("string"), F.lit(" 筆，指標與預測的穩定度較低"))),
+        ((F.col("bullish") > 0) & (F.col("bearish") > 0), F.lit("指標之間存在分歧，代表盤勢處於轉折或整理階段")),
     ]
-    said = F.concat_ws(" ", *(F.when(when, F.lit(text)) for when, text in notes))
-    return F.when(said == "", "No special risk; markets can still move against any reading.").otherwise(said)
+    said = F.concat_ws("；", *(F.when(when, text) for when, text in notes))
+    return F.concat(F.when(said == "", _NO_RISK).otherwise(said), F.lit("。"))
+
+
+def with_no_data(wanted: DataFrame, read: DataFrame) -> DataFrame:
+    """A reading for each of the ``wanted`` symbols: status ready, or no_data with a neutral reading where there is none."""
+    blank = {"score": F.lit(0.0), "stance": F.lit("neutral"), "bullish": F.lit(0), "bearish": F.lit(0), "neutral": F.lit(0)}
+    df = wanted.select("symbol").distinct().join(read.withColumn("status", F.lit("ready")), "symbol", "left")
+    df = df.withColumns({k: F.coalesce(F.col(k), v) for k, v in blank.items()} | {"status": F.coalesce("status", F.lit("no_data"))})
+    texts = {"no_data_headline": _NO_DATA[0], "no_data_summary": _NO_DATA[1]}
+    return df.withColumns({k: F.when(F.col("status") == "no_data", v) for k, v in texts.items()})
 
 
 def headline(read: DataFrame, top: int = 3) -> DataFrame:

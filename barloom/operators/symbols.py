@@ -53,28 +53,42 @@ def search(queries: DataFrame, entries: DataFrame, limit: int = 10, kind: str |
     return ranked.where(F.col("rank") <= limit).select("query", "rank", "score", *PUBLIC)
 
 
+def quote_kind(quote_type: Column) -> Column:
+    """A quote source's type as a kind."""
+    value = F.upper(F.coalesce(quote_type, F.lit("")))
+    return F.when(value == "ETF", "etf").when(value.isin("MUTUALFUND", "MONEYMARKET"), "fund").when(value == "INDEX", "index").when(value.isin("CRYPTOCURRENCY", "CURRENCY"), "crypto").when(value == "EQUITY", "stock").otherwise("unknown")
+
+
 def market_of(symbol: Column) -> Column:
-    return F.when(symbol.endswith(".TW"), "TW").when(symbol.endswith(".TWO"), "TWO").when(symbol.startswith("^"), "INDEX").otherwise("US")
+    return F.when(symbol.endswith(".TW"), "TW").when(symbol.endswith(".TWO"), "TWO").when(symbol.isNotNull(), "US")
+
+
+def directory_counts(entries: DataFrame) -> DataFrame:
+    return entries.agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "stock").alias("stocks"), F.count_if(F.col("kind") == "etf").alias("etfs"))
 
 
 def resolve(queries: DataFrame, entries: DataFrame, best: DataFrame | None = None) -> DataFrame:
-    """Candidate symbols per query, in order and once each: exact code, symbol or name, then what the query's form says,
-    then the best search hit (``best``: query, symbol)."""
-    q = queries.select("query", normal_query(F.col("query")).alias("q"))
-    names = entries.select(F.explode(F.array(F.upper("code"), F.upper("symbol"), F.upper("name_zh"), F.upper("name_en"))).alias("q"), "symbol", "tier", "code").where("q is not null")
-    keys = names.join(F.broadcast(q.select("q").unionByName(q.select(F.split("q", " ").getItem(0).alias("q"))).distinct()), "q", "left_semi")
-    exact = keys.groupBy("q").agg(F.min(F.struct("tier", "code", "symbol")).alias("m")).select("q", F.col("m.symbol").alias("symbol"))
-    df = q.join(exact, "q", "left").join(exact.select(F.col("q").alias("_head"), F.col("symbol").alias("head_symbol")), F.split(q["q"], " ").getItem(0) == F.col("_head"), "left")
+    """Candidate symbols per query, in order and once each: the entry of the whole query and that of its first word, then
+    what the query's form says, then the best search hit (``best``: query, symbol) of names and unknown words."""
+    q = queries.select("query", normal_query(F.col("query")).alias("q")).withColumn("head", F.split("q", " ").getItem(0))
+    names = entries.select(F.explode(F.array(F.upper("code"), F.upper("symbol"), F.upper("name_zh"), F.upper("name_en"))).alias("q"), F.struct("tier", "code", "symbol", "market", "kind").alias("e")).where("q is not null")
+    exact = names.groupBy("q").agg(F.min("e").alias("e"))
+    df = q.join(exact, "q", "left").join(exact.select(F.col("q").alias("head"), F.col("e").alias("h")), "head", "left")
     df = df if best is None else df.join(best.select("query", F.col("symbol").alias("found")), "query", "left")
     found = F.lit(None).cast("string") if best is None else F.col("found")
-    c = F.col("q")
+    c, head, none = F.col("q"), F.col("head"), F.array().cast("array<string>")
+    board = lambda x: F.array(F.concat(x, F.lit(".TW")), F.concat(x, F.lit(".TWO")))
     shape = (
-        F.when(F.contains(c, F.lit(".")) | c.startswith("^"), F.array(c))
-        .when(c.rlike(r"^\d{4,6}[A-Z]?$"), F.array(F.concat(c, F.lit(".TW")), F.concat(c, F.lit(".TWO"))))
-        .when(c.rlike(r"^[A-Z0-9\-]{1,10}$"), F.when(F.length(c) >= 4, F.array(c, found)).otherwise(F.array(c)))
-        .otherwise(F.array(found))
+        F.when(c == "", none)
+        .when(F.contains(c, F.lit(".")) | c.startswith("^"), F.array(c))
+        .when(c.rlike(r"^\d{4,6}[A-Z]?$"), board(c))
+        .when(head.rlike(r"^\d{4,6}[A-Z]?$"), board(head))
+        .when(c.rlike(r"^[A-Z0-9\-]{1,10}$"), F.when(F.col("e").isNull() & (F.length(c) >= 4), F.array(c, found)).otherwise(F.array(c)))
+        .when(F.col("e").isNull(), F.array(found))
+        .otherwise(none)
     )
-    known = F.coalesce("symbol", "head_symbol")
-    cands = F.when(known.isNotNull(), F.array(known)).otherwise(F.array_distinct(F.array_compact(shape)))
-    df = df.withColumn("candidates", cands).withColumn("primary", F.try_element_at("candidates", F.lit(1)))
-    return df.select("query", "candidates", "primary", market_of(F.col("primary")).alias("market"), known.isNotNull().alias("catalog"))
+    own = F.array(F.col("e.symbol"), F.when(head != c, F.col("h.symbol")))
+    df = df.withColumn("candidates", F.array_distinct(F.array_compact(F.concat(own, shape)))).withColumn("primary", F.try_element_at("candidates", F.lit(1)))
+    by_symbol = entries.select(F.upper("symbol").alias("_s"), F.struct("tier", "code", "symbol", "market", "kind").alias("k")).groupBy("_s").agg(F.min("k").alias("k"))
+    df = df.join(by_symbol, F.upper("primary") == F.col("_s"), "left").withColumn("known", F.coalesce("e", "k"))
+    return df.select("query", "candidates", "primary", F.coalesce("known.market", market_of(F.col("primary"))).alias("market"), F.col("known").isNotNull().alias("catalog"), F.coalesce("known.code", "q").alias("display_code"), F.col("known.kind").alias("kind"))

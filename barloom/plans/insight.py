@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import actions, forecast, indicators, risk, signals
@@ -12,6 +12,11 @@ from ..operators.features import news_summary
 BENCHMARKS = {"TW": "^TWII", "TWO": "^TWII", "US": "^GSPC"}
 
 
+def benchmark_of(market: Column) -> Column:
+    """The benchmark's symbol; null for other markets."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in BENCHMARKS.items() for x in pair)), market)
+
+
 def insight(bars: DataFrame, news: DataFrame | None = None, benchmark: DataFrame | None = None, dividends: DataFrame | None = None, horizon: int = 7, with_forecast: bool = True) -> DataFrame:
     """One row per symbol. Parts that aren't asked for are not computed. news: symbol, sentiment_score, sentiment_label."""
     snap = indicators.latest(indicators.snapshots(indicators.indicators(bars)))

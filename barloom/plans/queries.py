@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers, text
 from ..operators import actions, crawl, features, forecast, indicators, risk, sentiment, signals, symbols, windows
 from ..sources import bars as bar_source
+from ..sources import directories
 from . import insight
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,11 +499,10 @@ def ab_report(spark, sf):
 
 
 def runs(spark, sf) -> DataFrame:
-    a = arms(spark, sf).groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("h"), "arm").agg(F.count("*").alias("records"), F.round(F.sum(F.abs("sentiment_score")) / 1000, 6).alias("seconds"))
-    return a.where(F.dayofweek("day") != 4)
+    return arms(spark, sf).groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("h"), "arm").agg(F.count("*").alias("records"), F.round(F.sum(F.abs("sentiment_score")) / 1000, 6).alias("seconds"))
 
 
-ROLL = ARM + """, ru AS (SELECT CAST(ts AS DATE) AS day, arm, count(*) AS records, round(sum(abs(s)) / 1000, 6) AS seconds FROM ar WHERE dayofweek(ts) <> 3 GROUP BY CAST(ts AS DATE), hour(ts), arm),
+ROLL = ARM + """, ru AS (SELECT CAST(ts AS DATE) AS day, arm, count(*) AS records, round(sum(abs(s)) / 1000, 6) AS seconds FROM ar GROUP BY CAST(ts AS DATE), hour(ts), arm),
 ro AS (SELECT day, arm, count(*) AS runs, CAST(sum(records) AS BIGINT) AS records, sum(seconds) AS seconds, sum(records) / greatest(sum(seconds), 1e-9) AS rps FROM ru GROUP BY 1, 2)"""
 
 
@@ -528,12 +528,11 @@ def adaptive_ratio(spark, sf):
 LEXICON = sentiment.Lexicon(positive=["thble", "erble", "thing"], negative=["trash", "idiot", "clown", "scum", "worthless", "moron", "pathetic", "loser", "disgusting", "stupid"], positive_weights={"thing": 1.5}, negative_weights={"idiot": 1.5, "scum": 2.0}, negations=["non", "not"], intensifiers=["ously"], uncertain=["ander", "but"])
 
 
-def _lexicon_sql() -> str:
+def _lexicon_sql(L: sentiment.Lexicon) -> str:
     cnt = lambda w: f"((length(s) - length(replace(s, '{w}', ''))) / {len(w)})"
     hits = lambda ws, k: " + ".join(f"{cnt(w)} * {float(k.get(w, 1.0))}::DOUBLE" for w in ws)
-    flips = lambda ws: " + ".join(f"len(regexp_extract_all(s, '{n}\\s*{w}'))" for n in LEXICON.negations for w in ws)
+    flips = lambda ws: " + ".join(f"len(regexp_extract_all(s, '{n}\\s*{w}'))" for n in L.negations for w in ws)
     seen = lambda ws: " + ".join(f"contains(s, '{w}')::INT" for w in ws)
-    L = LEXICON
     return f"""WITH a AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM documents),
 b AS (SELECT doc_id, {hits(L.positive, L.positive_weights)} AS p, {hits(L.negative, L.negative_weights)} AS n, {flips(L.positive)} AS pn, {flips(L.negative)} AS np,
   least(1.25::DOUBLE, 1 + 0.05::DOUBLE * ({' + '.join(map(cnt, L.intensifiers))})) AS boost, greatest(0.75::DOUBLE, 1 - 0.04::DOUBLE * ({' + '.join(map(cnt, L.uncertain))})) AS doubt,
@@ -544,24 +543,29 @@ e AS (SELECT *, CASE WHEN p2 + n2 > 0 THEN greatest(-1.0::DOUBLE, least(1.0::DOU
 f AS (SELECT doc_id, pn, np, round(raw * CASE WHEN pp > 0 AND nn > 0 AND u > 0 THEN 0.35::DOUBLE WHEN pp > 0 AND nn > 0 AND abs(raw) < 0.55 THEN 0.65::DOUBLE WHEN NOT (pp > 0 AND nn > 0) AND u >= 2 AND abs(raw) < 0.7 THEN 0.6::DOUBLE ELSE 1 END * 100, 2) AS score FROM e)"""
 
 
-@query(_lexicon_sql() + " SELECT doc_id, score AS lexicon_score, CASE WHEN score >= 20 THEN 'positive' WHEN score <= -20 THEN 'negative' ELSE 'neutral' END AS lexicon_label FROM f")
+_LABELLED = " SELECT doc_id, score AS lexicon_score, CASE WHEN score >= 20 THEN 'positive' WHEN score <= -20 THEN 'negative' ELSE 'neutral' END AS lexicon_label FROM f"
+
+
+@query(_lexicon_sql(LEXICON) + _LABELLED)
 def lexicon_score(spark, sf):
     return sentiment.with_lexicon(t(spark, sf, "documents").select("doc_id", "text"), "text", LEXICON).drop("text")
 
 
-@query()
+@query(_lexicon_sql(sentiment.Lexicon()) + _LABELLED)
 def lexicon_default(spark, sf):
     return sentiment.with_lexicon(t(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query(f"""WITH {NEWS}, z AS (SELECT event_id, s AS ms, lab AS ml, CAST(event_id % 201 - 100 AS DOUBLE) AS ls FROM nw), y AS (SELECT *, CASE WHEN ls >= 20 THEN 'positive' WHEN ls <= -20 THEN 'negative' ELSE 'neutral' END AS ll FROM z)
-SELECT event_id, round(CASE WHEN abs(ls) >= 20 AND abs(ms) < 20 THEN 0.35 * ms + 0.65 * ls WHEN ml = ll AND ll <> 'neutral' THEN 0.7 * ms + 0.3 * ls ELSE ms END, 6) AS score,
-  CASE WHEN abs(ls) >= 20 AND abs(ms) < 20 THEN 'lexicon_override' WHEN ml = ll AND ll <> 'neutral' THEN 'lexicon_confirm' ELSE 'none' END AS how FROM y""")
+@query(f"""WITH {NEWS}, z AS (SELECT event_id, floor(s * 5) / 5 AS ms, CASE WHEN event_id % 7 = 0 THEN 'neutral' ELSE lab END AS ml, CAST(event_id % 201 - 100 AS DOUBLE) AS ls FROM nw),
+y AS (SELECT *, CASE WHEN ls >= 12 THEN 'positive' WHEN ls <= -12 THEN 'negative' ELSE 'neutral' END AS ll FROM z),
+x AS (SELECT *, CASE WHEN ll <> 'neutral' AND abs(ls) >= 12 AND (ml = 'neutral' OR abs(ms) < 12) THEN 'lexicon_override' WHEN ll <> 'neutral' AND ml = ll THEN 'lexicon_confirmed' ELSE 'rnn' END AS how FROM y)
+SELECT event_id, round(CASE how WHEN 'lexicon_override' THEN 0.35::DOUBLE * ms + 0.65::DOUBLE * ls WHEN 'lexicon_confirmed' THEN 0.7::DOUBLE * ms + 0.3::DOUBLE * ls ELSE ms END, 2) AS score, CASE how WHEN 'lexicon_override' THEN ll ELSE ml END AS label, how FROM x""")
 def calibrate(spark, sf):
     n = news(spark, sf).withColumn("ls", (F.col("event_id") % 201 - 100).cast("double"))
-    score, how = sentiment.calibrated(F.col("sentiment_score"), F.col("sentiment_label"), F.col("ls"), sentiment.label(F.col("ls")))
-    raw = F.when(how == "lexicon_override", 0.35 * F.col("sentiment_score") + 0.65 * F.col("ls")).when(how == "lexicon_confirm", 0.7 * F.col("sentiment_score") + 0.3 * F.col("ls")).otherwise(F.col("sentiment_score"))
-    return n.select("event_id", F.round(raw, 6).alias("score"), how.alias("how"))
+    own = F.when(F.col("event_id") % 7 == 0, "neutral").otherwise(F.col("sentiment_label"))
+    fifths = F.floor(F.col("sentiment_score") * 5) / 5  # mixed scores then have two decimals, so rounding has no ties
+    score, label, how = sentiment.calibrated(fifths, own, F.col("ls"), sentiment.label(F.col("ls"), 12.0, -12.0))
+    return n.select("event_id", score.alias("score"), label.alias("label"), how.alias("how"))
 
 
 @query("SELECT sha256(text || '|' || coalesce(lang, '') || '|') AS id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -585,9 +589,23 @@ def meaningful_filter(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.meaningful(F.split("text", "\n")[0], F.col("text"), ["Untitled", "Of."], 200).alias("meaningful"))
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#>*_`~|]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM documents""")
+MARKDOWN = r"""md AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '## A ' || doc_id || chr(10) WHEN doc_id % 3 = 1 THEN '   #head ' || chr(10) || '# other' || chr(10) ELSE '' END || text || ' [a-b](c) [](d) ![i](j) ~x|y~ z' AS md FROM documents WHERE text IS NOT NULL)"""
+
+
+def markdown_docs(spark, sf) -> DataFrame:
+    k = F.col("doc_id")
+    head = F.when(k % 3 == 0, F.concat(F.lit("## A "), k.cast("string"), F.lit("\n"))).when(k % 3 == 1, F.lit("   #head \n# other\n")).otherwise("")
+    return t(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(head, "text", F.lit(" [a-b](c) [](d) ![i](j) ~x|y~ z")).alias("md"))
+
+
+@query(rf"""WITH {MARKDOWN} SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '```[\s\S]*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[`*_>#\-]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM md""")
 def markdown_clean(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.sha2(text.markdown_text(F.col("text")).cast("binary"), 256).alias("plain"))
+    return markdown_docs(spark, sf).select("doc_id", F.sha2(text.markdown_text(F.col("md")).cast("binary"), 256).alias("plain"))
+
+
+@query(rf"""WITH {MARKDOWN} SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(list_filter(list_transform(string_split_regex(md, '[\n\r]+'), lambda x: trim(x)), lambda x: starts_with(x, '#'))[1], '^[# ]+', ''), '\s+', ' ', 'g')), '') AS title FROM md WHERE doc_id % 3 < 2""")
+def markdown_title(spark, sf):
+    return markdown_docs(spark, sf).where("doc_id % 3 < 2").select("doc_id", text.markdown_title(F.col("md")).alias("title"))
 
 
 @query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages")
@@ -641,22 +659,47 @@ def symbol_search(spark, sf):
     return symbols.search(asked, entries).select("query", "rank", "score", "code")
 
 
-@query(f"""WITH {CATALOG}, qs AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN '9' || lpad((p_partkey % 1000)::VARCHAR, 4, '0') WHEN 2 THEN 'X' || (p_partkey % 7)::VARCHAR ELSE '^IX' || p_partkey END AS q FROM part),
-d AS (SELECT DISTINCT q FROM qs), j AS (SELECT d.q, min(ca.symbol) AS symbol FROM d LEFT JOIN ca ON ca.code = d.q OR upper(ca.symbol) = d.q GROUP BY 1)
-SELECT q AS query, CASE WHEN symbol IS NOT NULL THEN symbol WHEN q LIKE '^%' THEN q WHEN regexp_full_match(q, '\\d{{4,6}}[A-Z]?') THEN q || '.TW' ELSE q END AS primary_symbol, symbol IS NOT NULL AS catalog FROM j""")
+@query(f"""WITH {CATALOG}, qs AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN '9' || lpad((p_partkey % 1000)::VARCHAR, 4, '0') WHEN 2 THEN 'X' || (p_partkey % 7)::VARCHAR WHEN 3 THEN '^IX' || p_partkey ELSE (p_partkey - 1) || ' STEEL' END AS q FROM part),
+e AS (SELECT code AS k, code, symbol, kind, CASE WHEN CAST(code AS BIGINT) % 2 = 0 THEN 'TW' ELSE 'US' END AS market FROM ca),
+j AS (SELECT q, split_part(q, ' ', 1) AS head FROM qs),
+f AS (SELECT j.*, own.symbol AS s1, CASE WHEN head <> q THEN h.symbol END AS s2, own.market AS m1, own.code AS c1, own.kind AS k1 FROM j LEFT JOIN e own ON own.k = q LEFT JOIN e h ON h.k = head),
+g AS (SELECT *, CASE WHEN q LIKE '^%' THEN [q] WHEN regexp_full_match(q, '\\d{{4,6}}[A-Z]?') THEN [q || '.TW', q || '.TWO'] WHEN regexp_full_match(head, '\\d{{4,6}}[A-Z]?') THEN [head || '.TW', head || '.TWO'] WHEN regexp_full_match(q, '[A-Z0-9\\-]{{1,10}}') THEN [q] ELSE [] END AS shape FROM f),
+x AS (SELECT *, list_concat(list_filter([s1, s2], lambda y: y IS NOT NULL), list_filter(shape, lambda y: y IS DISTINCT FROM s1 AND y IS DISTINCT FROM s2)) AS cs FROM g),
+z AS (SELECT x.*, coalesce(m1, by_s.market) AS m2, coalesce(c1, by_s.code) AS c2, coalesce(k1, by_s.kind) AS k2 FROM x LEFT JOIN e by_s ON by_s.symbol = cs[1])
+SELECT q AS query, array_to_string(cs, ',') AS candidates, coalesce(m2, CASE WHEN cs[1] LIKE '%.TW' THEN 'TW' WHEN cs[1] LIKE '%.TWO' THEN 'TWO' WHEN len(cs) > 0 THEN 'US' END) AS market, c2 IS NOT NULL AS catalog, coalesce(c2, q) AS display_code, k2 AS kind FROM z""")
 def symbol_resolve(spark, sf):
     k = F.col("p_partkey")
-    q = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("9"), F.lpad((k % 1000).cast("string"), 4, "0"))).when(k % 4 == 2, F.concat(F.lit("X"), (k % 7).cast("string"))).otherwise(F.concat(F.lit("^IX"), k.cast("string")))
+    q = F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, F.concat(F.lit("9"), F.lpad((k % 1000).cast("string"), 4, "0"))).when(k % 5 == 2, F.concat(F.lit("X"), (k % 7).cast("string"))).when(k % 5 == 3, F.concat(F.lit("^IX"), k.cast("string"))).otherwise(F.concat((k - 1).cast("string"), F.lit(" STEEL")))
     asked = t(spark, sf, "part").select(q.alias("query")).distinct()
-    return symbols.resolve(asked, catalog(spark, sf).withColumn("tier", F.lit(0))).select("query", F.col("primary").alias("primary_symbol"), "catalog")
+    found = symbols.resolve(asked, catalog(spark, sf).withColumn("tier", F.lit(0)))
+    return found.select("query", F.array_join("candidates", ",").alias("candidates"), "market", "catalog", "display_code", "kind")
 
 
-@query("SELECT p_partkey, p_name AS trimmed, p_partkey % 4 <> 3 AS share FROM part")
+NAMES = """nm AS (SELECT p_partkey, p_name || [' - Common Stock', ' Ordinary Shares', ' - Class A Common Stock', ' - Unitedx', ' - Warrants', ' 5% Notes', ' Notes', ' - Preferred, each 1/1000', ' Rights', '- units - x'][p_partkey % 10 + 1] AS name FROM part)"""
+
+
+def security_names(spark, sf) -> DataFrame:
+    ends = [" - Common Stock", " Ordinary Shares", " - Class A Common Stock", " - Unitedx", " - Warrants", " 5% Notes", " Notes", " - Preferred, each 1/1000", " Rights", "- units - x"]
+    return t(spark, sf, "part").select("p_partkey", F.concat("p_name", F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % 10 + 1).cast("int"))).alias("name"))
+
+
+_CLASS_SQL = r"(?i)\s*-\s*(Common Stock.*|Class [A-Z].*|Ordinary Shares.*|American Depositary Shares.*|Depositary Shares.*|Warrant.*|Unit.*|Preferred.*|Right.*)$"
+_OTHER_SQL = r"(?i)(\bwarrants?\b|\brights?\b|\bunits?\b|%\s*notes\b|depositary share, each)"
+
+
+@query(f"WITH {NAMES} SELECT p_partkey, trim(regexp_replace(name, '{_CLASS_SQL}', ''), ' -') AS trimmed, NOT regexp_matches(name, '{_OTHER_SQL}') AS share FROM nm")
 def name_suffix_trim(spark, sf):
+    return security_names(spark, sf).select("p_partkey", text.trimmed_name(F.col("name")).alias("trimmed"), text.is_share(F.col("name")).alias("share"))
+
+
+@query(f"""WITH {NAMES}, ln AS (SELECT *, 'S' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '.A' ELSE '' END AS sym FROM nm)
+SELECT replace(sym, '.', '-') AS code, trim(regexp_replace(name, '{_CLASS_SQL}', ''), ' -') AS name_en, CASE WHEN p_partkey % 4 = 0 THEN 'etf' ELSE 'stock' END AS kind FROM ln WHERE p_partkey % 9 <> 0 AND NOT regexp_matches(name, '{_OTHER_SQL}')""")
+def symbol_file(spark, sf):
     k = F.col("p_partkey")
-    suffix = F.when(k % 4 == 0, " - Common Stock").when(k % 4 == 1, " Ordinary Shares").when(k % 4 == 2, " Class A Common Stock").otherwise("")
-    p = t(spark, sf, "part")
-    return p.select("p_partkey", text.trimmed_name(F.concat("p_name", suffix)).alias("trimmed"), text.is_share(F.concat(F.col("p_name"), F.when(k % 4 == 3, " Warrants").otherwise(" Unitedx"))).alias("share"))
+    code = F.concat(F.lit("s"), k.cast("string"), F.when(k % 6 == 0, ".a").otherwise(""))
+    line = F.concat_ws("|", code, "name", F.lit("Q"), F.when(k % 9 == 0, "y").otherwise("N"), F.lit("N"), F.lit("100"), F.when(k % 4 == 0, "Y").otherwise("N"), F.lit("N"))
+    lines = security_names(spark, sf).select(line.alias("value")).unionByName(spark.createDataFrame([("Symbol|Security Name|C|Test Issue|F|L|ETF|N",), ("File Creation Time: 0101202400:00|||||||",)], "value string"))
+    return directories.symbol_file(lines, "NASDAQ").select("code", "name_en", "kind")
 
 
 @query(f"""WITH {DIV}, y AS (SELECT symbol, CAST(year(ex_date) AS INTEGER) AS year, round(sum(amount), 4) AS total, count(*) AS payments FROM dv GROUP BY 1, 2) SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY year DESC) <= 15""")
@@ -690,7 +733,7 @@ def div_yield(spark, sf):
 
 
 def split_events(spark, sf) -> DataFrame:
-    li = t(spark, sf, "lineitem").where("l_linenumber = 1")
+    li = t(spark, sf, "lineitem")
     tw = F.when(F.col("l_suppkey") % 2 == 0, ".TW").otherwise("")
     ratio = F.when(F.col("l_orderkey") % 3 == 0, 1 + F.col("l_discount")).when(F.col("l_orderkey") % 3 == 1, 2.0 + F.col("l_orderkey") % 4).otherwise(0.25)
     li = li.select(F.concat(F.col("l_suppkey").cast("string"), tw).alias("symbol"), F.to_date("l_shipdate").alias("date"), F.round(ratio, 2).alias("ratio"))
@@ -698,7 +741,7 @@ def split_events(spark, sf) -> DataFrame:
 
 
 SPLIT = """sp AS (SELECT symbol, date, max(ratio) AS ratio FROM (SELECT l_suppkey || CASE WHEN l_suppkey % 2 = 0 THEN '.TW' ELSE '' END AS symbol, CAST(l_shipdate AS DATE) AS date,
-  round(CASE l_orderkey % 3 WHEN 0 THEN 1 + l_discount WHEN 1 THEN 2.0 + l_orderkey % 4 ELSE 0.25 END, 2) AS ratio FROM lineitem WHERE l_linenumber = 1) GROUP BY 1, 2)"""
+  round(CASE l_orderkey % 3 WHEN 0 THEN 1 + l_discount WHEN 1 THEN 2.0 + l_orderkey % 4 ELSE 0.25 END, 2) AS ratio FROM lineitem) GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {SPLIT} SELECT symbol, date, ratio, CASE WHEN ratio >= 1 THEN 'split' ELSE 'reverse_split' END AS kind,
@@ -713,15 +756,16 @@ def rights_ratio(spark, sf):
     return actions.rights_from_splits(split_events(spark, sf))
 
 
-EXCHANGE = """ex AS (SELECT l_suppkey || CASE WHEN l_suppkey % 2 = 0 THEN '.TW' ELSE '' END AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS b, min(l_extendedprice * (1 - l_discount)) AS f FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25 AND l_suppkey % 2 = 0 GROUP BY 1, 2)"""
+EXCHANGE = """ex AS (SELECT l_suppkey || CASE WHEN l_suppkey % 2 = 0 THEN '.TW' ELSE '' END AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS b, min(l_extendedprice * (1 - l_discount)) AS f FROM lineitem GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {SPLIT}, {EXCHANGE}, rr AS (SELECT symbol, date, ratio, round((ratio - 1) * 1000, 2) AS n FROM sp WHERE symbol LIKE '%.TW' AND ratio > 1 AND ratio <= 1.5)
 SELECT coalesce(ex.symbol, rr.symbol) AS symbol, coalesce(ex.date, rr.date) AS date, round((b - f) / b * 100, 2) AS drop_pct, ratio, n AS shares_per_1000, CASE WHEN ex.symbol IS NULL THEN 'splits' WHEN rr.symbol IS NULL THEN 'exchange' ELSE 'exchange+splits' END AS source
 FROM ex FULL JOIN rr ON ex.symbol = rr.symbol AND ex.date = rr.date QUALIFY row_number() OVER (PARTITION BY coalesce(ex.symbol, rr.symbol) ORDER BY coalesce(ex.date, rr.date) DESC) <= 30""")
 def rights_merge(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 25 and l_suppkey % 2 = 0")
-    ex = li.groupBy(F.concat(F.col("l_suppkey").cast("string"), F.lit(".TW")).alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("before_price"), F.min(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("reference_price"))
+    li = t(spark, sf, "lineitem")
+    tw = F.when(F.col("l_suppkey") % 2 == 0, ".TW").otherwise("")
+    ex = li.groupBy(F.concat(F.col("l_suppkey").cast("string"), tw).alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("before_price"), F.min(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("reference_price"))
     ex = ex.withColumns({"kind": F.lit("rights"), "kind_label": F.lit("權")})
     return actions.merged_rights(ex, actions.rights_from_splits(split_events(spark, sf))).select("symbol", "date", "drop_pct", "ratio", "shares_per_1000", "source")
 

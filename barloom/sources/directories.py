@@ -30,14 +30,16 @@ def isin_table(pages: DataFrame, html: str = "html") -> DataFrame:
     return out.where("code <> '' and kind is not null")
 
 
-def symbol_file(lines: DataFrame, exchange: str, name_at: int = 1, test_at: int = 3, etf_at: int = 6, order: int = 0) -> DataFrame:
+def symbol_file(lines: DataFrame, exchange: str, name_at: int = 1, test_at: int | None = 3, etf_at: int | None = 6, order: int = 0, exchange_at: int | None = None) -> DataFrame:
     """Entries of a pipe-delimited file (value): no header, footer, test issues or instruments that aren't shares."""
-    f = lines.select(F.split("value", r"\|").alias("f")).where(F.size("f") > max(name_at, test_at, etf_at))
-    at = lambda i: F.get("f", F.lit(i))
-    code, name = F.trim(at(0)), at(name_at)
-    good = code.rlike(r"^[A-Z][A-Z.]{0,6}$") & (F.trim(at(test_at)) == "N") & is_share(name)
-    symbol = F.translate(code, ".", "-")
-    return f.where(good).select(symbol.alias("code"), symbol.alias("symbol"), F.lit(None).cast("string").alias("name_zh"), trimmed_name(name).alias("name_en"), F.lit("US").alias("market"), F.when(F.trim(at(etf_at)) == "Y", "etf").otherwise("stock").alias("kind"), F.lit(exchange).alias("exchange"), F.lit(order).alias("file_order"))
+    f = lines.where(~F.col("value").startswith("File Creation Time")).select(F.split("value", r"\|").alias("f")).where(F.size("f") > max(x for x in (name_at, test_at, etf_at, exchange_at) if x is not None))
+    at = lambda i: F.trim(F.get("f", F.lit(i)))
+    code, name = F.upper(at(0)), at(name_at)
+    good = code.rlike(r"^[A-Z][A-Z0-9.\-]{0,9}$") & ~at(0).isin("Symbol", "ACT Symbol", "NASDAQ Symbol") & is_share(name)
+    good = good if test_at is None else good & (F.upper(at(test_at)) != "Y")
+    kind = F.lit("stock") if etf_at is None else F.when(F.upper(at(etf_at)) == "Y", "etf").otherwise("stock")
+    symbol, where = F.translate(code, ".", "-"), F.lit(exchange) if exchange_at is None else at(exchange_at)
+    return f.where(good).select(symbol.alias("code"), symbol.alias("symbol"), F.lit(None).cast("string").alias("name_zh"), trimmed_name(name).alias("name_en"), F.lit("US").alias("market"), kind.alias("kind"), where.alias("exchange"), F.lit(order).alias("file_order"))
 
 
 def merged_files(*files: DataFrame) -> DataFrame:
