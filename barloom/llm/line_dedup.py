@@ -5,7 +5,7 @@ every count follows. Each shard of keys also has a cuckoo filter, a few bits per
 without touching the exact table: only keys that the filter may hold go on to the exact join. Filters take deletions as
 well. The number of shards follows the keys: when they outgrow their shards, filters are made anew from the reference
 table with more of them. ``dedup_lines`` builds an index of half the documents, inserts the other half and reads the
-counts from it.
+counts from it; where no index is wanted afterwards, ``keep_index=False`` counts the keys at once, with equal results.
 
 A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased. Keys of at least ``min_chars``
 code points in at least ``min_docs`` documents lose all their lines, except in the largest doc_id that holds them.
@@ -161,6 +161,10 @@ def in_shards(keys: DataFrame, shards: int) -> DataFrame:
     return keys.withColumn("shard", F.pmod(F.shiftrightunsigned("h2", 20), F.lit(shards)).cast("int"))
 
 
+def counted(references: DataFrame) -> DataFrame:
+    return references.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+
+
 @dataclass
 class LineIndex:
     """``references``: h1, h2, doc_id, one row each. ``filters``: shard, segments (the cuckoo filter's tables), ``shards`` of
@@ -205,7 +209,7 @@ class LineIndex:
         return LineIndex(left, filters, self.shards, self.keys - lost.count())
 
     def counts(self) -> DataFrame:
-        return self.references.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        return counted(self.references)
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         return self.counts().where(F.col("n_docs") >= min_docs)
@@ -245,15 +249,18 @@ def _maybe(rows: DataFrame, filters: DataFrame) -> DataFrame:
     return spread.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look, rows.schema)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep_index: bool = True) -> DataFrame:
     """doc_id, _ld_text and the positions of the lines that go.
 
     The index's reference counts give the repeated keys; a filter of just those sorts out most lines before the exact join.
     """
     lines = materialize(lines_of(docs, min_chars), "lines")
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    index = LineIndex.build(lines.where(early)).insert(lines.where(~early))
-    repeated = materialize(index.repeated(min_docs), "line-repeated")
+    if keep_index:
+        counts = LineIndex.build(lines.where(early)).insert(lines.where(~early)).counts()
+    else:
+        counts = counted(lines.select("h1", "h2", "doc_id").distinct())
+    repeated = materialize(counts.where(F.col("n_docs") >= min_docs), "line-repeated")
     count = repeated.count()
     shards = -(-count // SHARD_KEYS) or 1
     filters = materialize(_change(in_shards(repeated.select("h1", "h2"), shards), None, "insert"), "line-filters")
@@ -261,7 +268,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return hits.groupBy("doc_id", "_ld_text").agg(F.collect_set("pos").alias("_ld_gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep_index: bool = True) -> DataFrame:
     """``docs`` with the remaining text, and the counts _ld_lines and _ld_dropped."""
 
     @F.pandas_udf("string")
@@ -273,7 +280,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop) if drop else None)
             yield pd.Series(out, dtype=object)
 
-    gone = dropped_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_ld_doc").withColumnRenamed("_ld_text", "_ld_hash")
+    gone = dropped_lines(docs, min_chars, min_docs, keep_index).withColumnRenamed("doc_id", "_ld_doc").withColumnRenamed("_ld_text", "_ld_hash")
     rows = docs.withColumn("_ld_hash", F.xxhash64(text_or_empty("text"))).withColumnRenamed("doc_id", "_ld_doc")
     rows = rows.join(gone, ["_ld_doc", "_ld_hash"], "left").withColumnRenamed("_ld_doc", "doc_id")
     text = text_or_empty("text")

@@ -34,7 +34,7 @@ LENGTH, END_ID = 2048, 1
 #: Items packed together; sequences with at most SLACK free tokens count as full; tokens of a bundle of short items.
 WINDOW, SLACK, BUNDLE = 512, 8, 64
 #: Entries of a task's cache from white-space-delimited chunk to ids.
-CACHE = 600_000
+CACHE = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 

@@ -72,6 +72,11 @@ def test_line_dedup_agrees_with_sql_on_awkward_rows(spark):
     assert found["n_dropped"].sum() >= 8
 
 
+def test_counting_at_once_gives_the_index_result(spark):
+    rows = lambda keep: sorted(map(tuple, line_dedup.dedup_lines(clashing(documents(spark)), keep_index=keep).select("doc_id", "text", "_ld_lines", "_ld_dropped").collect()), key=str)
+    assert rows(True) == rows(False)
+
+
 def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     line = "a line that is long enough to count"
     docs = spark.createDataFrame([(1, line), (1, line), (None, line), (None, line), (2, line)], "doc_id long, text string")
