@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated in three documents or more stay in one; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), keep_index=False)
     return kept.withColumn("n_chars", F.when(F.col("_ld_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
