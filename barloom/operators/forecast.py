@@ -193,7 +193,7 @@ def forecast(bars: DataFrame, horizon: int = 7, models: dict | None = None) -> D
     test = blend.groupBy("symbol").agg(F.avg((F.signum(F.col("end") - F.col("last")) == F.signum(F.col("truth") - F.col("last"))).cast("double")).alias("hit"), F.avg(F.abs(gap) * 100).alias("mape"), F.stddev_pop(gap).alias("sd"), F.count("*").alias("runs"))
     shares = finals.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "model", F.round(F.col("weight") * 100, 1).alias("weight_pct"), F.round("mape", 2).alias("mape")))).alias("m"))
     shares = shares.select("symbol", F.transform("m", lambda x: F.struct(x["model"].alias("model"), x["weight_pct"].alias("weight_pct"), x["mape"].alias("mape"))).alias("models"))
-    sigma = F.greatest(F.when(F.col("runs") >= 3, F.col("sd")).otherwise(0.05), F.lit(0.005))
+    sigma = F.greatest(F.coalesce("sd", F.lit(0.05)), F.lit(0.005))  # any walk-forward run counts; without one the band is 5 percent
     out = path.join(test, "symbol", "left").join(shares, "symbol").withColumn("sigma", sigma).withColumn("path", bounded(F.col("path"), F.col("last"), F.col("vol"), horizon))
     edge = lambda way: F.transform("path", lambda p, i: F.round(p * (1 + way * F.col("sigma") * F.sqrt((i + 1) / F.lit(float(horizon))) * 1.2816), 2))
     done = out.select("symbol", F.round("last", 2).alias("last"), F.transform("path", lambda p: F.round(p, 2)).alias("ensemble"), edge(-1).alias("lower"), edge(1).alias("upper"), F.round(F.coalesce("hit", F.lit(0.5)) * 100, 1).alias("accuracy_pct"), F.round("mape", 2).alias("mape_pct"), "models")

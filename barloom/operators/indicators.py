@@ -81,8 +81,8 @@ def snapshots(ind: DataFrame) -> DataFrame:
     moves = ind.withColumn("_move", ratio(c, back) - 1)
     last20 = w.rowsBetween(-19, 0)
     vol = F.when(F.count("_move").over(last20) >= 5, F.stddev_samp("_move").over(last20) * F.sqrt(F.lit(252.0)) * 100)
-    fields = {f"{x}_prev": previous(F.col(x)) for x in ("sma20", "macd_hist", "k", "d")}
-    fields |= {"obv_5ago": previous(F.col("obv"), 5), "ad_5ago": previous(F.col("ad"), 5), "change_pct": F.round((ratio(c, back) - 1) * 100, 2), "high_52w": F.round(high, 2), "low_52w": F.round(low, 2)}
+    fields = {f"{x}_prev": previous(x) for x in ("sma20", "macd_hist", "k", "d")}
+    fields |= {"obv_5ago": previous("obv", 5), "ad_5ago": previous("ad", 5),"change_pct": F.round((ratio(c, back) - 1) * 100, 2), "high_52w": F.round(high, 2), "low_52w": F.round(low, 2)}
     fields |= {"position_52w": F.round(F.when(high > low, (c - low) / F.nullif(high - low, F.lit(0.0)) * 100).otherwise(50.0), 2), "volatility": F.round(vol, 2), "sample": F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0))}
     return moves.withColumns(fields).drop("_move")
 

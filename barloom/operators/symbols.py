@@ -40,17 +40,32 @@ def entry_score(q: Column) -> Column:
     )
 
 
-def search(queries: DataFrame, entries: DataFrame, limit: int = 10, kind: str | None = None) -> DataFrame:
+#: What an empty query shows, in this order.
+QUICK_PICKS = ["2330", "0050", "00878", "006208", "2454", "SPY", "QQQ", "NVDA"]
+
+
+def quick_picks(empty: DataFrame, entries: DataFrame, picks: list[str], limit: int) -> DataFrame:
+    """The picks that the catalog (tier 0) holds, in order and without scores, for each empty query; kinds don't matter."""
+    held = first_wins(entries.where((F.col("tier") == 0) & F.col("code").isin(picks)), "code", "symbol")
+    at = F.array_position(F.array(*map(F.lit, picks)), F.col("code"))
+    ranked = held.withColumn("rank", F.row_number().over(Window.orderBy(at))).where(F.col("rank") <= limit)  # no more rows than picks
+    return empty.select("query").join(F.broadcast(ranked), F.lit(True)).select("query", "rank", F.lit(0).alias("score"), *PUBLIC)
+
+
+def search(queries: DataFrame, entries: DataFrame, limit: int = 10, kind: str | None = None, picks: list[str] = QUICK_PICKS) -> DataFrame:
     """The best entries per query (query): rank, score and public fields. The directory (tier 1, 5 points less) counts
-    only where the catalog gives fewer than ``limit``. Queries are few; they are sent to every entry."""
-    q = F.broadcast(queries.select("query", normal_query(F.col("query")).alias("q")).where("q <> ''"))
+    only where the catalog gives fewer than ``limit``. Null and empty queries give the ``picks``. Queries are few; they
+    are sent to every entry."""
+    asked = queries.select("query", F.coalesce(normal_query(F.col("query")), F.lit("")).alias("q"))
+    q = F.broadcast(asked.where("q <> ''"))
     pool = entries if kind not in ("etf", "stock", "index") else entries.where(F.col("kind") == kind)
     hits = pool.join(q, F.lit(True)).withColumn("score", entry_score(F.col("q"))).where("score > 0").withColumn("score", F.col("score") - 5 * F.col("tier"))
     w = Window.partitionBy("query")
     hits = hits.withColumn("_own", F.count_if(F.col("tier") == 0).over(w)).where((F.col("tier") == 0) | (F.col("_own") < limit))
     best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query", "code").orderBy(F.desc("score"), "tier", "symbol"))).where("_n = 1")
     ranked = best.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "code")))
-    return ranked.where(F.col("rank") <= limit).select("query", "rank", "score", *PUBLIC)
+    found = ranked.where(F.col("rank") <= limit).select("query", "rank", "score", *PUBLIC)
+    return found.unionByName(quick_picks(asked.where("q = ''"), entries, picks, limit))
 
 
 def quote_kind(quote_type: Column) -> Column:

@@ -23,10 +23,10 @@ def running(agg: Callable[[Column], Column], x: Column) -> Column:
     return agg(x).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def previous(x: Column, back: int = 1) -> Column:
-    """The value that many non-null values before this row's; rows without a value see their last ones."""
-    w = series().rowsBetween(Window.unboundedPreceding, -1)
-    return F.last(x, ignorenulls=True).over(w) if back == 1 else F.lag(x, back).over(series())
+def previous(x: str, back: int = 1) -> Column:
+    """The value that many places before the last one among a column's non-null values up to this row."""
+    before = lambda n: F.expr(f"lag(`{x}`, {n}) IGNORE NULLS OVER (PARTITION BY symbol ORDER BY ts)")
+    return F.when(F.col(x).isNotNull(), before(back)).otherwise(before(back + 1))
 
 
 def ewm(x: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:

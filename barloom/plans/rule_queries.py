@@ -165,6 +165,15 @@ def symbol_search_of_a_kind(spark, sf):
     return symbols.search(asked, catalog(spark, sf).drop("m").withColumn("tier", F.lit(0)), 8, "etf").select("query", "code", "score")
 
 
+@query(f"""WITH {CATALOG}, pk AS (SELECT unnest(['7', '12', '3', '999999999999', '9']) AS code, unnest([1, 2, 3, 4, 5]) AS pos)
+SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS rank, code, symbol FROM pk JOIN ca USING (code) WHERE m = 0""")
+def symbol_quick_picks(spark, sf):
+    c = catalog(spark, sf)
+    entries = symbols.merged_directory(c.where("m = 0").drop("m"), c.where("m <> 0").drop("m"))
+    asked = spark.createDataFrame([("  ",)], "query string")
+    return symbols.search(asked, entries, picks=["7", "12", "3", "999999999999", "9"]).select("rank", "code", "symbol")
+
+
 @query(f"""WITH {NEWS} SELECT '{{"records":' || count(*) || ',"bad_lines_skipped":3,"errors":0,"distribution":{{"positive":' || count(*) FILTER (WHERE lab = 'positive') || ',"neutral":' || count(*) FILTER (WHERE lab = 'neutral') || ',"negative":' || count(*) FILTER (WHERE lab = 'negative') || '}}}}' AS json FROM nw""")
 def run_summary(spark, sf):
     whole = sentiment.run_summary(news(spark, sf), 3, 2.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom import schemas
 from barloom.operators import actions, forecast, indicators, risk, signals
-from barloom.operators.windows import ewm
+from barloom.operators.windows import ewm, previous
 from barloom.plans import insight
 from barloom.sources import bars as source
 
@@ -181,3 +181,25 @@ def test_insight_composes(spark):
     rows = insight.payload(insight.insight(b, benchmark=b.where("symbol = 'A'").select("ts", "close"))).collect()
     assert {r["symbol"] for r in rows} == {"A", "B"} and all("score" in r["json"] for r in rows)
     assert [r["symbol"] for r in insight.compare(b, ["A", "B"]).orderBy("rank").collect()] == ["A", "B"]
+
+
+@pytest.mark.parametrize("back", [1, 5])
+def test_previous_skips_nulls(spark, back):
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.4 else float(i) for i in range(60)]
+    rows = [("T", datetime(2024, 1, 1) + timedelta(days=i), v) for i, v in enumerate(values)] + [("U", datetime(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double").withColumn("p", previous("x", back))
+    found = [r["p"] for r in df.where("symbol = 'T'").orderBy("ts").collect()]
+    valid = [[v for v in values[: i + 1] if v is not None] for i in range(60)]
+    assert found == [v[-1 - back] if len(v) > back else None for v in valid]
+    assert df.where("symbol = 'U'").first()["p"] is None
+
+
+def test_band_of_one_walk_forward_run(spark):
+    row = forecast.forecast(make(spark, trend(38))).first()
+    assert row["upper"][-1] / row["ensemble"][-1] - 1 == pytest.approx(0.005 * 1.2816, abs=3e-4)
+
+
+def test_band_without_walk_forward_run(spark):
+    row = forecast.forecast(make(spark, trend(33))).first()
+    assert row["upper"][-1] / row["ensemble"][-1] - 1 == pytest.approx(0.05 * 1.2816, abs=3e-4) and row["accuracy_pct"] == 50.0

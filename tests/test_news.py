@@ -111,3 +111,11 @@ def test_cli_scores_and_aggregates(spark, tmp_path):
     assert row["sentiment_label"] == "positive" and row["arm"] == "rnn" and len(row["id"]) == 64
     cli.main(["features", "--input", str(tmp_path / "s"), "--output", str(tmp_path / "f")])
     assert news.read_features(spark, str(tmp_path / "f")).first()["news_count"] == 1
+
+
+def test_empty_queries_show_the_quick_picks(spark):
+    kinds = "code string, symbol string, name_zh string, name_en string, market string, kind string, tags array<string>, tier int"
+    rows = [("SPY", "SPY", None, "S", "US", "etf", None, 0), ("2330", "2330.TW", None, "T", "TW", "stock", None, 0), ("NVDA", "NVDA", None, "N", "US", "stock", None, 1), ("ZZ", "ZZ", None, "Z", "US", "stock", None, 0)]
+    found = symbols.search(spark.createDataFrame([("",), (None,), ("zz",)], "query string"), spark.createDataFrame(rows, kinds), kind="stock").collect()
+    by = lambda q: [r["code"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q]
+    assert by("") == by(None) == ["2330", "SPY"] and by("zz") == ["ZZ"]
