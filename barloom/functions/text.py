@@ -115,10 +115,19 @@ def ticker_root(ticker: Column) -> Column:
     return F.split(F.upper(ticker), r"\.").getItem(0)
 
 
-def filled(template: str, ticker: Column, query: Column) -> Column:
-    """A template with {ticker}, {query} and {query_encoded} filled in."""
-    out = F.replace(F.replace(F.lit(template), F.lit("{ticker}"), ticker), F.lit("{query}"), query)
-    return F.replace(out, F.lit("{query_encoded}"), F.replace(F.url_encode(query), F.lit("+"), F.lit("%20")))
+def encoded(text: Column) -> Column:
+    """Text for use in an address: slashes and ~ stay, blanks are %20."""
+    out = F.url_encode(text)
+    for said, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(said), F.lit(wanted))
+    return out
+
+
+def filled(template: str | Column, ticker: Column, query: Column) -> Column:
+    """A template with {ticker}, {query} and {query_encoded} filled in; one that names anything else stays as it is."""
+    raw = F.lit(template) if isinstance(template, str) else template
+    parts = F.transform(F.split(raw, r"(?=\{[A-Za-z_]+\})|(?<=\})"), lambda p: F.when(p == "{ticker}", ticker).when(p == "{query}", query).when(p == "{query_encoded}", encoded(query)).otherwise(p))
+    return F.when(raw.rlike(r"\{(?!(ticker|query|query_encoded)\})[A-Za-z_]+\}"), raw).otherwise(F.array_join(parts, ""))
 
 
 def safe_ticker(raw: Column) -> Column:

@@ -50,7 +50,7 @@ def signed_change(spark, sf):
     return orders(spark, sf).where((k % 401) % 2 == 0).select("o_orderkey", numbers.signed_percent(x).alias("change"))
 
 
-@query("SELECT o_orderkey, 'https://h.example/s?q=a%20b%26c%2F' || o_orderkey || '&t=T' || o_orderkey % 9 || '&raw=a b&c/' || o_orderkey AS url FROM orders")
+@query("SELECT o_orderkey, 'https://h.example/s?q=a%20b%26c/' || o_orderkey || '&t=T' || o_orderkey % 9 || '&raw=a b&c/' || o_orderkey AS url FROM orders")
 def feed_template(spark, sf):
     q = F.concat(F.lit("a b&c/"), F.col("k").cast("string"))
     return orders(spark, sf).select("o_orderkey", text.filled("https://h.example/s?q={query_encoded}&t={ticker}&raw={query}", F.concat(F.lit("T"), (F.col("k") % 9).cast("string")), q).alias("url"))
