@@ -4,7 +4,7 @@ Records are range-sorted by page id, each range is written by one task as gzip m
 compressed size passes a limit. Headers and digests are made anew from the payload, with a fixed date and ids derived
 from content, so a second attempt of a task writes the same bytes. Tasks write under temporary names and report them in
 a manifest table; Spark's commit keeps only the reports of attempts that succeeded, a second job renames those files,
-and readers follow the manifest alone.
+readers follow the manifest alone, and what other attempts left behind is deleted.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page id is a response and the
 others are revisit records that refer to it. Defined cases: null html is an empty payload; a null url becomes
@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, small
+from .common import BROADCAST_ROWS, materialize, scratch_dir
 
 #: Compressed bytes after which a file is rolled, and payload bytes a task sorts and writes.
 ROLL_BYTES, TASK_BYTES = 16 << 20, 16 << 20
+#: A payload with more copies than HOT, or than 1 in HOTS of all copies, is joined apart from the others.
+HOT, HOTS = 4096, 8192
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -89,13 +91,31 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload}
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def _with_keepers(rows: DataFrame, twins: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with the keeper of their mark, null for those without twins.
+
+    Up to ``limit`` marks are broadcast. Beyond it, marks of more than HOT rows, or than 1 in HOTS of all rows with twins,
+    still are (HOTS at most), and rows that found theirs so are dealt by page in the shuffle that the other marks need.
+    """
+    count, total = twins.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= limit:
+        return rows.join(F.broadcast(twins.select("mark", "keeper")), "mark", "left")
+    hot = max(HOT, total // HOTS)
+    heavy = twins.where(F.col("n") > hot).select("mark", F.col("keeper").alias("_heavy"))
+    light = twins.where(F.col("n") <= hot).select(F.col("mark").alias("_mark"), F.col("keeper").alias("_light"))
+    rows = rows.join(F.broadcast(heavy), "mark", "left")
+    key = F.when(F.col("_heavy").isNull(), F.col("mark")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("_key", key).join(light, F.col("_key") == F.col("_mark"), "left")
+    return rows.withColumn("keeper", F.coalesce("_heavy", "_light")).drop("_heavy", "_light", "_key", "_mark")
+
+
+def plan_records(pages: DataFrame, min_bytes: int = 0, limit: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, payload (null in revisits' stead kept), refers_to."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     marks = rows.select("page_id", F.sha1("payload").alias("mark"), F.octet_length("payload").alias("bytes")).where(F.col("bytes") >= min_bytes)
-    twins = materialize(marks.groupBy("mark", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("mark", "keeper"), "warc-twins")
-    rows = rows.withColumn("mark", F.sha1("payload")).join(small(twins, twins.count()), "mark", "left")
+    twins = materialize(marks.groupBy("mark", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("mark", "keeper", "n"), "warc-twins")
+    rows = _with_keepers(rows.withColumn("mark", F.sha1("payload")), twins, limit)
     later = (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))) & (F.octet_length("payload") >= min_bytes)
     return rows.select("page_id", "url", "payload", F.when(later, F.col("keeper")).alias("refers_to"))
 
@@ -149,9 +169,18 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes:
 
     manifest = f"{folder}/_manifest"
     written.mapInArrow(rename, "name string, records long, bytes long, first long, last long").write.mode("overwrite").parquet(manifest)
+    _sweep(folder)
     return spark.read.parquet(manifest)
 
 
+def _sweep(folder: str) -> None:
+    """Files that failed or repeated attempts left behind go once the manifest names the others."""
+    where, base = pyarrow.fs.FileSystem.from_uri(folder)
+    left = posixpath.join(base, "_tmp")
+    if where.get_file_info(left).type != pyarrow.fs.FileType.NotFound:
+        where.delete_dir(left)
+
+
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of the files that the manifest names, each digest checked."""
     manifest = spark.read.parquet(f"{folder}/_manifest")

@@ -165,3 +165,21 @@ def test_small_payloads_stay_and_damage_shows(spark, tmp_path):
         warc.parse(warc.record(1, "u", b"body", None).replace(b"body", b"bodi"))
     manifest = warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert manifest.count() == 0 and warc.read_archive(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_archive_joins_hot_payloads_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    rows = [(i, f"u{i}", None if i % 2 else f"p{i // 4}") for i in range(40)] + [(None, None, ""), (3, "u3", None), (50, "v", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = [sorted(map(str, warc.plan_records(pages, limit=limit).collect())) for limit in (100, 0)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    keeper = {r["page_id"]: r["refers_to"] for r in warc.plan_records(pages, limit=0).collect()}
+    assert keeper[1] == 39 and keeper[39] is None and keeper[None] == 39 and keeper[0] == 2 and keeper[2] is None and keeper[50] is None
+
+
+def test_archive_sweeps_what_attempts_left(spark, tmp_path):
+    (tmp_path / "w/_tmp").mkdir(parents=True)
+    (tmp_path / "w/_tmp/pages-000000-0000.warc.gz.lost").write_bytes(b"half a rec")
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"file://{tmp_path}/w")
+    assert not (tmp_path / "w/_tmp").exists() and warc.read_archive(spark, f"file://{tmp_path}/w").count() == 2
