@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html_extract, line_dedup, minhash, mixing, packing, quality, suffix_dedup, warc
+from . import ann, embed_dedup, filter_audit, html_extract, line_dedup, minhash, mixing, packing, quality, suffix_dedup, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,17 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.token_folder(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_files.read_token_files(spark, folder)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
@@ -77,6 +88,8 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_files": op13_token_files,
 }
 
 _DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{k // 4}'), {1 + 8 * (k % 4)}, 8))::BIGINT / 4294967296.0::DOUBLE" for k in range(mixing.SEEDS))
@@ -114,4 +127,29 @@ m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS first FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+  + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS bad
+  FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY part, mask),
+f AS (SELECT i, chr((65 + i)::INTEGER) AS letter FROM range(5) AS r(i)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS p
+  FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, k::INTEGER AS step, (1 << p[k])::BIGINT AS own,
+  coalesce(list_sum(list_transform(p[1:k - 1], lambda x: (1 << x)::BIGINT)), 0)::BIGINT AS earlier FROM o, range(1, 6) AS r(k))
+SELECT part, filter_order, step,
+  sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN bad ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN mask & own <> 0 THEN n * 120 // bit_count(mask) ELSE 0 END)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step""",
 }
