@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, filter_audit, html_extract, line_dedup, minhash, mixing, packing, quality, suffix_dedup, token_files, warc
+from . import ann, collocations, embed_dedup, filter_audit, html_extract, line_dedup, minhash, mixing, packing, quality, suffix_dedup, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return filter_audit.audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_files": op13_token_files,
 }
@@ -127,6 +132,31 @@ m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+q AS (SELECT lang, doc, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS body FROM p),
+w AS (SELECT lang, regexp_extract_all(body, '[^\x20\x09]+') AS ws FROM q),
+x AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM x),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+c3 AS (SELECT f3.lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, f3.f AS a,
+  a1.f AS la, b1.f AS ra, a2.f AS lb, b2.f AS rb
+  FROM f3 JOIN f1 a1 USING (lang, w1) JOIN f2 a2 USING (lang, w1, w2)
+  JOIN f2 b1 ON b1.lang = f3.lang AND b1.w1 = f3.w2 AND b1.w2 = f3.w3 JOIN f1 b2 ON b2.lang = f3.lang AND b2.w1 = f3.w3),
+h3 AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY lang, w1, w2),
+c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, a1.f AS l, b1.f AS r
+  FROM f2 JOIN f1 a1 ON a1.lang = f2.lang AND a1.w1 = f2.w1 JOIN f1 b1 ON b1.lang = f2.lang AND b1.w1 = f2.w2
+  LEFT JOIN h3 ON h3.lang = f2.lang AND h3.w1 = f2.w1 AND h3.w2 = f2.w2
+  WHERE f2.f >= 10 AND (h3.f IS NULL OR 100 * h3.f < 50 * f2.f)),
+s AS (SELECT lang, phrase, a, l, r, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM c2
+  UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN la ELSE lb END, CASE WHEN s1 <= s2 THEN ra ELSE rb END, least(s1, s2)
+  FROM (SELECT *, 1000000::HUGEINT * a * a // (la::HUGEINT * ra) AS s1, 1000000::HUGEINT * a * a // (lb::HUGEINT * rb) AS s2 FROM c3)),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op12_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, '') AS part FROM documents),
 w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS first FROM d),
