@@ -40,9 +40,8 @@ def quality_filters(text: str = "text") -> dict[str, Column]:
     """The conditions on a text alone under which filters A to D remove it."""
     body = text_or_empty(text)
     blanks = F.translate(body, "\t\n\x0b\x0c\r", " " * 5)
-    parts = F.split(blanks, " ")
-    words = F.size(F.filter(parts, lambda w: w != ""))
-    distinct = F.size(F.array_distinct(parts)) - F.when(F.array_contains(parts, ""), 1).otherwise(0)
+    found = F.array_remove(F.split(blanks, " "), "")
+    words, distinct = F.size(found), F.size(F.array_distinct(found))
     capitals = F.length(body) - F.length(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     return {
         "A": words < 200,
@@ -52,19 +51,20 @@ def quality_filters(text: str = "text") -> dict[str, Column]:
     }
 
 
-def duplicate_rows(rows: DataFrame, text: str, doc_id: str, keep: list[str], task_bytes: int = TASK_BYTES) -> DataFrame:
+def duplicate_rows(rows: DataFrame, text: str, doc_id: str, keep: dict[str, Column], task_bytes: int = TASK_BYTES) -> DataFrame:
     """``doc_id`` and the columns ``keep`` of each row, and ``duplicate``: whether a smaller doc_id has the same text.
 
-    Names in ``keep`` must differ from doc_id, body, mark, first and edge.
+    The columns ``keep`` are computed after the sort, so that the sample behind its ranges doesn't compute them too. Their
+    names must differ from doc_id, body, mark, first and edge, those of ``rows`` from ``_mark`` and ``_any``.
     """
     size = rows.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
-    body = rows.select(*keep, F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
-    order = ["mark", F.col("doc_id").asc_nulls_last()]
-    spread = body.withColumn("_any", F.rand(7))  # rows that repeat a doc_id and its text may part anywhere
-    ranged = spread.repartitionByRange(max(1, -(-size // task_bytes)), *order, "_any").drop("_any")
-    ordered = ranged.sortWithinPartitions("mark", "body", F.col("doc_id").asc_nulls_last())
+    spread = rows.withColumns({"_mark": F.xxhash64(text), "_any": F.rand(7)})  # rows that repeat a doc_id and its text may part anywhere
+    ranged = spread.repartitionByRange(max(1, -(-size // task_bytes)), "_mark", F.col(doc_id).asc_nulls_last(), "_any")
+    ordered = ranged.sortWithinPartitions("_mark", text, F.col(doc_id).asc_nulls_last())
+    ordered = ordered.select(*(c.alias(n) for n, c in keep.items()), F.col(doc_id).alias("doc_id"), F.col("_mark").alias("mark"), F.col(text).alias("body"))
+    keep = list(keep)
     kinds = [("doc_id", pa.int64()), ("first", pa.int64()), ("edge", pa.int64()), ("mark", pa.int64()), ("body", pa.string())]
-    ddl = ", ".join([f"`{c}` {body.schema[c].dataType.simpleString()}" for c in keep] + ["doc_id long, first long, edge long, mark long, body string"])
+    ddl = ", ".join([f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in keep] + ["doc_id long, first long, edge long, mark long, body string"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row with its group's number and the smallest doc_id of its group in this range; then a row with mark and
@@ -108,14 +108,14 @@ def duplicate_rows(rows: DataFrame, text: str, doc_id: str, keep: list[str], tas
     return joined.select(F.col("doc_id").alias(doc_id), *keep, duplicate.alias("duplicate"))
 
 
-def failure_cells(docs: DataFrame, labels: DataFrame, filters: dict[str, Column], part: str = "source") -> DataFrame:
+def failure_cells(docs: DataFrame, labels: DataFrame, filters: dict[str, Column], part: str = "source", columns: tuple[str, ...] = ()) -> DataFrame:
     """_part, _mask, n, good, toxic: documents by part and by the set of filters they fail; bit i is the i-th filter's.
 
     The filter after the given ones is that of exact duplicates.
     """
     mask = sum((F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, fails in enumerate(filters.values())), F.lit(0))
-    rows = docs.select("doc_id", text_or_empty("text").alias("_body"), text_or_empty(F.col(part).cast("string")).alias("_part"), mask.cast("long").alias("_mask"))
-    found = duplicate_rows(rows, "_body", "doc_id", ["_part", "_mask"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), text_or_empty(F.col(part).cast("string")).alias("_part"), *columns)
+    found = duplicate_rows(rows, "text", "doc_id", {"_part": F.col("_part"), "_mask": mask.cast("long")})
     whole = (F.col("_mask") + F.when(F.col("duplicate"), F.lit(1 << len(filters))).otherwise(F.lit(0))).alias("_mask")
     counted = found.select("doc_id", "_part", whole).groupBy("doc_id", "_part", "_mask").agg(F.count("*").alias("n"))
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -160,12 +160,12 @@ def order_report(cells: DataFrame, letters: str) -> DataFrame:
     )
 
 
-def audit(docs: DataFrame, labels: DataFrame, filters: dict[str, Column] | None = None, part: str = "source") -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, filters: dict[str, Column] | None = None, part: str = "source", columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per part, order of the filters and step: what the step's filter removes and loses there.
 
     ``filters`` maps letters to the conditions under which a row of ``docs`` fails; by default A to D of
-    ``quality_filters``. The letter after the last stands for exact duplicates.
+    ``quality_filters``. They may read the text (null as empty) and the ``columns`` named. The letter after the last stands for exact duplicates.
     """
     filters = quality_filters() if filters is None else filters
     letters = "".join(filters) + chr(ord(max(filters, default="@")) + 1)
-    return order_report(materialize(failure_cells(docs, labels, filters, part), "audit-cells"), letters)
+    return order_report(materialize(failure_cells(docs, labels, filters, part, columns), "audit-cells"), letters)

@@ -112,7 +112,7 @@ def test_duplicates_across_edges_against_brute_force(spark):
         if d is not None:
             least[t] = min(d, least.get(t, d))
     for task_bytes in (200, 3000, 1 << 20):
-        got = {r["row"]: r["duplicate"] for r in filter_audit.duplicate_rows(df, "t", "doc_id", ["row"], task_bytes).collect()}
+        got = {r["row"]: r["duplicate"] for r in filter_audit.duplicate_rows(df, "t", "doc_id", {"row": F.col("row")}, task_bytes).collect()}
         assert got == {i: d is not None and d > least[t] for d, t, i in rows}
 
 
@@ -120,13 +120,13 @@ def test_shared_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     rows = [(i, f"text {i % 5}", i) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, t string, row long")
-    got = {r["row"]: r["duplicate"] for r in filter_audit.duplicate_rows(df, "t", "doc_id", ["row"], 1500).collect()}
+    got = {r["row"]: r["duplicate"] for r in filter_audit.duplicate_rows(df, "t", "doc_id", {"row": F.col("row")}, 1500).collect()}
     assert got == {i: i >= 5 for i in range(300)}
 
 
 def test_audit_of_own_filters_and_of_nothing(spark):
     docs, labels = documents(spark, audit_corpus()), spark.createDataFrame([], LABELS)
-    rows = filter_audit.audit(docs, labels, {"A": F.length("text") < 5}).collect()
+    rows = filter_audit.audit(docs, labels, {"A": F.length("text") < F.col("n_chars") + 4}, columns=("n_chars",)).collect()
     assert {r["filter_order"] for r in rows} == {"AB", "BA"}
     for part in {r["part"] for r in rows}:
         mine = [r for r in rows if r["part"] == part]
