@@ -18,6 +18,7 @@ columns other than doc_id and text are not read. Texts of any length are cut int
 from __future__ import annotations
 
 import functools
+import itertools
 import posixpath
 import re
 import struct
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,9 +48,13 @@ _DOCUMENT = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("flags", "u1")])
 NO_ID, GOES_ON = 1, 2
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_UNEVEN = re.compile(r"[^\S \n]|[ \n] |[ \n]\n|(?:^|[\W_])[,.]")
-
-_PAIRS = tuple(a + b for a in " \n,." for b in " \n,." if (a in " \n") or b in ",.")
+#: What keeps a text from being split at blanks alone: other white space or separators, two of blanks and line ends in
+#: a row, or a comma or full stop after anything but a letter or digit.
+_UNEVEN = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|(?:^|[^\p{L}\p{N}])[,.]"
+#: In front of a text's first piece, which has no blank before it, and the piece that stands for the end id.
+_FIRST, _END = "\x1d", "\x1e"
+#: Bytes of text that are split at a time.
+SLICE = 4 << 20
 
 #: For each control byte, the lengths of its four codes; for each length, the bits that its bytes hold.
 LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byte in range(256)], np.uint8)
@@ -62,44 +68,77 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian bytes of ``dtype``.
+    """Ids of whole texts, each with the end id, as little-endian bytes of ``dtype``.
 
     The vocabulary's pre-tokenizer never joins a character with white space that follows it, nor a letter or digit with a
     comma or full stop, so the ids of a text are those of its pieces, and common pieces stay in a cache. Texts with single
-    blanks are split at blanks, and a piece stands for its word with the blank before it; line ends, commas and full
-    stops begin pieces without one. Other texts are cut before white space. Those with the four ASCII separators, which
-    libraries class differently, are encoded whole.
+    blanks are split at blanks, many at a time, and a piece stands for its word with the blank before it; line ends, commas
+    and full stops begin pieces without one. Other texts are cut before white space. Those with the four ASCII separators,
+    which libraries class differently, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.late, self.chunks, self.first = {}, {}, {}, {}
-        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.blank[[i for name, i in self.tokenizer.get_vocab().items() if name.startswith("\u0120")]] = True  # the vocabulary's sign for a blank
-
-    def encode(self, text: str) -> bytes:
-        if not even(text):
-            return self.plain([text])[0] if _SEPARATORS.search(text) else b"".join(self.look(_CHUNK.findall(text), self.chunks, self.plain))
-        pieces = text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
-        return self.look(pieces[:1], self.first, self.plain)[0] + b"".join(self.look(pieces[1:], self.pieces, self.after_blank))
+        names = self.tokenizer.get_vocab()
+        self.size = max(*names.values(), end_id) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.dtype).tobytes()
+        self.known, self.late, self.chunks = {_FIRST: b"", _END: self.end}, {}, {}
+        self.blank = np.zeros(self.size, bool)
+        self.blank[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # the vocabulary's sign for a blank
+
+    def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text in order; null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+            part = texts.slice(at, stop - at)
+            uneven = pc.match_substring_regex(part, _UNEVEN)
+            split = self.split(part.filter(pc.invert(uneven)))
+            for odd, text in zip(uneven.to_pylist(), part, strict=True):
+                yield self.cut(text.as_py()) if odd else next(split)
+            at = stop
+
+    def split(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Ids of texts that are split at blanks: each different piece is looked up once, then ids are gathered for all."""
+        for mark in "\n,.":
+            texts = pc.replace_substring(texts, mark, f" {mark}")
+        lists = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts, f" {_END}", ""), " ")
+        pieces = lists.flatten().dictionary_encode()
+        which = pieces.indices.to_numpy()
+        found = self.look(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self.after_blank)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * self.dtype.itemsize
+        for a, b in itertools.pairwise(bounds.tolist()):
+            yield ids[a:b]
+
+    def cut(self, text: str) -> bytes:
+        if _SEPARATORS.search(text):
+            return self.plain([text])[0] + self.end
+        return b"".join(self.look(_CHUNK.findall(text), self.chunks, self.plain)) + self.end
 
     def look(self, pieces: list[str], known: dict[str, bytes], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """The ids of each piece, learned where the cache lacks them; once it is full, new ones go to one that is emptied."""
         ids = list(map(known.get, pieces))
-        if None not in ids:
-            return ids
         holes = [i for i, x in enumerate(ids) if x is None]
-        late = self.late if known is self.pieces else {}
+        if not holes:
+            return ids
+        late = self.late if known is self.known else {}
         missing = {pieces[i] for i in holes}
         found = {p: late[p] for p in missing if p in late}
         new = [p for p in missing if p not in found]
         found |= zip(new, learn(new), strict=True)
         if len(late) > CACHE // 4:
             late.clear()
-        if known is self.pieces or len(known) < CACHE // 8:
+        if known is self.known or len(known) < CACHE // 8:
             (known if len(known) < CACHE else late).update((p, found[p]) for p in new if len(p) <= LONGEST)
         for i in holes:
             ids[i] = found[pieces[i]]
@@ -113,7 +152,7 @@ class ByteEncoder:
         words = [p for p in pieces if p.isalpha()]
         found = dict(zip(words, self.words(words), strict=True))
         other = [p for p in pieces if p not in found]
-        found |= zip(other, self.plain([p if p[:1] in ("\n", ",", ".") and p else f" {p}" for p in other]), strict=True)
+        found |= zip(other, self.plain([p.removeprefix(_FIRST) if p[:1] in ("\n", ",", ".", _FIRST) and p else f" {p}" for p in other]), strict=True)
         return [found[p] for p in pieces]
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -127,20 +166,10 @@ class ByteEncoder:
         return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
 
-def even(text: str) -> bool:
-    """Whether all white space is single blanks and line ends, with letters or digits before each comma and full stop."""
-    rest = text
-    for mark in " \n,.":
-        rest = rest.replace(mark, "")
-    if rest.isalnum():
-        return text[0] not in ",." and not any(pair in text for pair in _PAIRS)
-    return not _SEPARATORS.search(text) and not _UNEVEN.search(text)
-
-
 @functools.cache
-def encoder(path: str) -> ByteEncoder:
+def encoder(path: str, end_id: int) -> ByteEncoder:
     """One per Python worker, so that its cache outlives a task."""
-    return ByteEncoder(path)
+    return ByteEncoder(path, end_id)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -173,12 +202,10 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        end = np.array([end_id], own.dtype).tobytes()
+        own = encoder(path, end_id)
         for batch in batches:
             rows, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.encode(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 wide = np.frombuffer(ids, own.dtype)
                 rows.append((doc, len(wide), zlib.crc32(wide.astype("<u4")), ids))
                 held += len(ids)
@@ -212,9 +239,9 @@ def ids_by_frequency(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, roll_bytes: int = ROLL_BYTES, task_bytes: int = TASK_BYTES, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write the ids of ``docs`` under ``folder`` in ascending doc_id order; gives the manifest: name, documents, ids, bytes, ids_before."""
     path = path or vocabulary_path()
-    own = encoder(path)
-    dtype, vocabulary = own.dtype, max(own.tokenizer.get_vocab_size(), end_id + 1)
-    tokens = materialize(tokenize(docs, path, end_id), "token-ids")
+    own = encoder(path, end_id)
+    dtype, vocabulary = own.dtype, own.size
+    tokens = materialize(tokenize(docs, path, end_id), "token-ids", compression="zstd")
     by_rank = ids_by_frequency(tokens, dtype, vocabulary)
     rank_of = np.zeros(vocabulary, "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
