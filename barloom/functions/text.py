@@ -89,15 +89,48 @@ def html_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)))
 
 
+#: Scheme, host, path, query and fragment of an address; a part that is there but empty counts as absent.
+_ADDRESS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Schemes whose links can be relative.
+_RELATIVE = ["", "http", "https", "ftp", "file"]
+
+
+def resolved_path(parts: Column) -> Column:
+    """Path parts with "." and ".." worked off in one fold, as a path that begins with a slash."""
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).when(p == ".", acc).otherwise(F.array_append(acc, p)))
+    path = F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def absolute_link(base: Column, link: Column) -> Column:
-    """A link as an absolute address: schemes stay, rooted paths get the host, others the folder of the base."""
-    root, folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^?#]*/)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
+    """A link on a page as an absolute address: dot segments, queries and fragments alone, hosts without a scheme.
+
+    Addresses with a host of their own or another scheme stay as they are; an empty link is the page itself. A null base
+    or link gives null.
+    """
+    clean = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda x, i: F.regexp_extract(x, _ADDRESS, i)
+    scheme, host, whole, query, fragment = (part(clean, i) for i in range(1, 6))
+    extra = F.regexp_extract(whole, r";[^/]*$", 0)  # parameters of the last part
+    path = F.regexp_replace(whole, r";[^/]*$", "")
+    over = F.lower(part(base, 1))
+    own = F.when(scheme == "", over).otherwise(F.lower(scheme))
+    folder = F.split(part(base, 3), "/")
+    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, 1, F.size(folder) - 1))
+    below = F.concat(folder, F.split(path, "/"))
+    below = F.filter(below, lambda p, i: (p != "") | (i == 0) | (i == F.size(below) - 1))
+    parts = F.when(path.startswith("/"), F.split(path, "/")).otherwise(below)
+    mark = lambda sign, text: F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(sign), text))
+    root = lambda h: F.concat(own, F.when(own == "", F.lit("")).otherwise(F.lit(":")), F.when(h == "", F.lit("")).otherwise(F.concat(F.lit("//"), h)))
+    slashed = F.when((whole == "") | whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
+    tail = F.concat(mark("?", query), mark("#", fragment))
     return (
-        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link))
+        F.when(link == "", base)
+        .when((own != over) | ~own.isin(*_RELATIVE), link)
+        .when(host != "", F.concat(root(host), slashed, tail))
+        .when(whole == "", F.concat(root(part(base, 2)), part(base, 3), mark("?", F.when(query == "", part(base, 4)).otherwise(query)), mark("#", fragment)))
+        .otherwise(F.concat(root(part(base, 2)), resolved_path(parts), extra, tail))
     )
 
 
