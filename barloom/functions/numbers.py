@@ -40,9 +40,11 @@ def ratio_text(x: Column) -> Column:
 
 
 def signed_percent(x: Column) -> Column:
-    return F.when(x.isNull(), "--").otherwise(F.format_string("%+.2f%%", x))
+    """Two decimals, halves to even; what rounds to nothing keeps its sign."""
+    near = F.bround(x, 2)
+    return F.when(x.isNull(), "--").when((x < 0) & (near == 0), "-0.00%").otherwise(F.format_string("%+.2f%%", near))
 
 
 def score_from_probabilities(positive: Column, negative: Column) -> Column:
-    """(p+ - p-) * 100 within +-100, two decimals."""
-    return F.round(clamp((positive - negative) * 100, -100.0, 100.0), 2)
+    """(p+ - p-) * 100 within +-100, two decimals, halves to even."""
+    return F.bround(clamp((positive - negative) * 100, -100.0, 100.0), 2)

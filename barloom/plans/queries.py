@@ -589,13 +589,13 @@ def meaningful_filter(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.meaningful(F.split("text", "\n")[0], F.col("text"), ["Untitled", "Of."], 200).alias("meaningful"))
 
 
-MARKDOWN = r"""md AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '## A ' || doc_id || chr(10) WHEN doc_id % 3 = 1 THEN '   #head ' || chr(10) || '# other' || chr(10) ELSE '' END || text || ' [a-b](c) [](d) ![i](j) ~x|y~ z' AS md FROM documents WHERE text IS NOT NULL)"""
+MARKDOWN = r"""md AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '## A ' || doc_id || chr(10) WHEN doc_id % 3 = 1 THEN '   #head ' || chr(10) || '# other' || chr(10) ELSE '' END || text || ' [a-b](c) [](d) ![i](j) ~x|y~ z' AS md FROM documents)"""
 
 
 def markdown_docs(spark, sf) -> DataFrame:
     k = F.col("doc_id")
     head = F.when(k % 3 == 0, F.concat(F.lit("## A "), k.cast("string"), F.lit("\n"))).when(k % 3 == 1, F.lit("   #head \n# other\n")).otherwise("")
-    return t(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(head, "text", F.lit(" [a-b](c) [](d) ![i](j) ~x|y~ z")).alias("md"))
+    return t(spark, sf, "documents").select("doc_id", F.concat(head, "text", F.lit(" [a-b](c) [](d) ![i](j) ~x|y~ z")).alias("md"))
 
 
 @query(rf"""WITH {MARKDOWN} SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '```[\s\S]*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[`*_>#\-]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM md""")
@@ -603,9 +603,9 @@ def markdown_clean(spark, sf):
     return markdown_docs(spark, sf).select("doc_id", F.sha2(text.markdown_text(F.col("md")).cast("binary"), 256).alias("plain"))
 
 
-@query(rf"""WITH {MARKDOWN} SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(list_filter(list_transform(string_split_regex(md, '[\n\r]+'), lambda x: trim(x)), lambda x: starts_with(x, '#'))[1], '^[# ]+', ''), '\s+', ' ', 'g')), '') AS title FROM md WHERE doc_id % 3 < 2""")
+@query(rf"""WITH {MARKDOWN} SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(list_filter(list_transform(string_split_regex(md, '[\n\r]+'), lambda x: trim(x)), lambda x: starts_with(x, '#'))[1], '^[# ]+', ''), '\s+', ' ', 'g')), '') AS title FROM md""")
 def markdown_title(spark, sf):
-    return markdown_docs(spark, sf).where("doc_id % 3 < 2").select("doc_id", text.markdown_title(F.col("md")).alias("title"))
+    return markdown_docs(spark, sf).select("doc_id", text.markdown_title(F.col("md")).alias("title"))
 
 
 @query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages")

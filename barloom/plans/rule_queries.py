@@ -43,11 +43,11 @@ def epoch_dates(spark, sf):
     return o.select("o_orderkey", dates.epoch_or_date(raw).alias("day"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '--' ELSE format('{:+.2f}%', (o_orderkey % 401 - 200) / 8.0::DOUBLE) END AS change FROM orders WHERE (o_orderkey % 401) % 2 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '--' ELSE format('{:+.2f}%', (o_orderkey % 401 - 200) / 8.0::DOUBLE) END AS change FROM orders")
 def signed_change(spark, sf):
     k = F.col("k")
     x = F.when(k % 7 != 0, (k % 401 - 200) / 8.0)
-    return orders(spark, sf).where((k % 401) % 2 == 0).select("o_orderkey", numbers.signed_percent(x).alias("change"))
+    return orders(spark, sf).select("o_orderkey", numbers.signed_percent(x).alias("change"))
 
 
 @query("SELECT o_orderkey, 'https://h.example/s?q=a%20b%26c/' || o_orderkey || '&t=T' || o_orderkey % 9 || '&raw=a b&c/' || o_orderkey AS url FROM orders")
@@ -92,11 +92,9 @@ def news_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(sentiment.news_text(F.col("lang"), F.col("text")).cast("binary"), 256).alias("text"))
 
 
-@query("SELECT o_orderkey, round((o_orderkey % 65 - o_orderkey % 33) / 64.0::DOUBLE * 100, 1) AS score FROM orders WHERE (o_orderkey % 65 - o_orderkey % 33) % 16 = 0")
+@query("SELECT o_orderkey, round_even((o_orderkey % 65 - o_orderkey % 33) / 64.0::DOUBLE * 100, 2) AS score FROM orders")
 def probability_score(spark, sf):
-    k = F.col("k")
-    o = orders(spark, sf).where((k % 65 - k % 33) % 16 == 0)
-    return o.select("o_orderkey", F.round(sentiment_score(k), 1).alias("score"))
+    return orders(spark, sf).select("o_orderkey", sentiment_score(F.col("k")).alias("score"))
 
 
 def sentiment_score(k):
@@ -181,13 +179,13 @@ def run_summary(spark, sf):
     return whole.select(F.to_json(F.from_json("json", kind)).alias("json"))
 
 
-@query("""SELECT p_partkey::VARCHAR AS c, lpad(p_partkey::VARCHAR, 5, '0') || CASE WHEN p_partkey % 3 = 0 THEN '.TWO' ELSE '.TW' END AS symbol, p_name AS name_zh, CASE WHEN p_partkey % 4 = 0 THEN 'etf' ELSE 'stock' END AS kind FROM part WHERE p_partkey % 5 > 0 AND p_partkey < 100000""")
+@query("""SELECT (p_partkey % 1000000)::VARCHAR AS c, lpad((p_partkey % 1000000)::VARCHAR, 6, '0') || CASE WHEN p_partkey % 3 = 0 THEN '.TWO' ELSE '.TW' END AS symbol, p_name AS name_zh, CASE WHEN p_partkey % 4 = 0 THEN 'etf' ELSE 'stock' END AS kind  FROM part WHERE p_partkey % 5 > 0""")
 def isin_table(spark, sf):
     k = F.col("p_partkey")
     cell = lambda x: F.concat(F.lit("<td bgcolor=#FAFAD2>"), x, F.lit("</td>"))
     cfi = F.when(k % 5 == 0, "RWSCCE").when(k % 4 == 0, "CEOGEU").otherwise("ESVUFR")
-    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lpad(k.cast("string"), 5, "0"), F.lit("　<b>"), F.col("p_name"), F.lit("</b>"))), cell(F.lit("TW00")), cell(F.lit("2001/01/01")), cell(F.when(k % 3 == 0, "上櫃").otherwise("上市")), cell(F.lit("&nbsp;x")), cell(cfi), F.lit("</tr>"))
-    pages = t(spark, sf, "part").where(k < 100000).groupBy((k % 16).alias("g")).agg(F.concat(F.lit("<table><tr><td colspan=7>Stocks</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lpad((k % 1_000_000).cast("string"), 6, "0"), F.lit("　<b>"), F.col("p_name"), F.lit("</b>"))), cell(F.lit("TW00")), cell(F.lit("2001/01/01")), cell(F.when(k % 3 == 0, "上櫃").otherwise("上市")), cell(F.lit("&nbsp;x")), cell(cfi), F.lit("</tr>"))
+    pages = t(spark, sf, "part").groupBy(F.floor(k / 500).alias("g")).agg(F.concat(F.lit("<table><tr><td colspan=7>Stocks</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
     return directories.isin_table(pages).select(F.col("code").cast("long").cast("string").alias("c"), "symbol", "name_zh", "kind")
 
 
