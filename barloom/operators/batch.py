@@ -49,7 +49,7 @@ def resolve_ratio(spark: SparkSession, given: float | None, policy: DataFrame |
     )
 
 
-def score(rows: DataFrame, text: str, mode: str, ratio: DataFrame | None = None, key: Column | None = None, salt: str = "stock_predict_ab_v1", lexicon: Lexicon | None = None) -> DataFrame:
+def score(rows: DataFrame, text: str, mode: str, ratio: DataFrame | None = None, key: Column | None = None, salt: str = "ab", lexicon: Lexicon | None = None) -> DataFrame:
     """``rows`` with sentiment_score, sentiment_label and sentiment_model; rows have model_score and model_label where a model ran.
 
     In the mode ab_hybrid a row whose key hashes below the ratio takes the model's score. Rows that should but have none are
@@ -83,7 +83,7 @@ def arms(scored: DataFrame, seconds: dict[str, float]) -> DataFrame:
     return both.withColumn("records_per_second", F.round(F.col("records") / F.greatest("seconds", F.lit(1e-9)), 2))
 
 
-def ab_report(scored: DataFrame, ratio: DataFrame, seconds: dict[str, float], source: str = "", salt: str = "stock_predict_ab_v1", key_field: str = "id") -> DataFrame:
+def ab_report(scored: DataFrame, ratio: DataFrame, seconds: dict[str, float], source: str = "", salt: str = "ab", key_field: str = "id") -> DataFrame:
     """One JSON document on a split run: its configuration and both arms."""
     a = arms(scored, seconds)
     arm = F.struct("model", "records", "errors", F.round("seconds", 4).alias("seconds"), "records_per_second", F.struct(*LABELS).alias("distribution"))
