@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +49,97 @@ def rfc822(text: Column) -> Column:
     return F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
-def any_date(text: Column) -> Column:
-    return F.coalesce(iso(text), rfc822(text), F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm")), F.try_to_timestamp(text, F.lit("yyyy/MM/dd")))
+# English names and filler words of dates.
+_MONTHS = r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z])"
+_WEEKDAYS = r"\b(?:mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|rsday|r)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)(?![a-z])"
+_FILLERS = r"(?<=\d)(?:st|nd|rd|th)\b|\b(?:at|on|and|ad|of|t)\b"
+#: A time of day with what may follow it: half of the day, a zone that means UTC, an offset and its name in brackets.
+_TIME = r"(?<![\d:])(?:(?<=\d)t|\bt)?(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?(?:\s*([ap])m?\b)?|\s*([ap])m?\b)(?:\s*(?:z|utc|gmt)\b)?(?:\s*([+-])(\d{1,2})(?::?(\d{2}))?(?!\d)(?:\s*\([a-z]{3,5}\))?)?"
+#: Other zones' abbreviations after a time say nothing about the offset and are passed over.
+_ZONE = r"(:\d{2}(?:\.\d+)?\s+)(?!JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC|MON|TUE|WED|THU|FRI|SAT|SUN|UTC|GMT)[A-Z]{3,5}\b"
+
+
+def _date_text(text: Column) -> Column:
+    """Lower case, single blanks, solid digits split, an offset next to its time."""
+    t = F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), _ZONE, "$1"))
+    t = F.regexp_replace(t, r"(?<!\d)(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})?(?!\d)", "$1-$2-$3 $4:$5:$6")
+    t = F.regexp_replace(t, r"(\d{2}:\d{2}):(?!\d)", "$1")
+    t = F.regexp_replace(t, r"(?<![\d.])(\d{4})(\d{2})(\d{2})(?![\d:])", "$1-$2-$3 ")
+    t = F.regexp_replace(t, r"(?<![\d.:+-])(\d{2})(\d{2})(\d{2})(?![\d:.])", "$1-$2-$3 ")
+    t = F.regexp_replace(t, r"(\d)t(?=\d)", "$1 ")
+    return F.regexp_replace(t, r"(:\d{2}(?:\.\d+)?)(\s.*?)\s*([+-]\d{2}:?\d{2})$", "$1$3$2")  # an offset after the date
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; written out, the expression would grow with each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _date_parts(tokens: Column, name: Column, cy: Column) -> Column:
+    """Year, month and day among number and month tokens, by their order, size and number of digits."""
+    numbers = F.filter(tokens, lambda x: x != "#")
+    facts = F.struct(*(F.get(numbers, F.lit(i)).alias(f"t{i}") for i in range(3)), F.array_position(tokens, "#").alias("at"), F.size(tokens).alias("k"), F.size(numbers).alias("of"))
+
+    def decide(x: Column) -> Column:
+        n = [x[f"t{i}"].try_cast("int") for i in range(3)]
+        wide = [F.coalesce(F.length(x[f"t{i}"]) > 2, F.lit(False)) for i in range(2)]
+        big = [w | F.coalesce(v > 31, F.lit(False)) for w, v in zip(wide, n)]
+        first = F.when(wide[0], True).when(wide[1], False).when(x["at"] < 3, big[0]).otherwise(~big[1])  # with a name and two numbers: the year comes first
+        ymd, dmy, three, two = big[0], n[0] > 12, (x["at"] == 0) & (x["k"] == 3), (x["at"] == 0) & (x["k"] == 2)
+        pick = lambda i: x[f"t{i}"]
+        year = F.when(three, F.when(ymd, pick(0)).otherwise(pick(2))).when(two, F.when(big[0], pick(0)).when(big[1], pick(1))).when(x["of"] == 2, F.when(first, pick(0)).otherwise(pick(1))).when((x["of"] == 1) & big[0], pick(0))
+        month = F.when(three, F.when(ymd | dmy, n[1]).otherwise(n[0])).when(two, F.when(big[0], n[1]).otherwise(n[0])).otherwise(name)
+        day = F.when(three, F.when(ymd, n[2]).when(dmy, n[0]).otherwise(n[1])).when(two, F.when(~big[0] & ~big[1], n[1])).when(x["of"] == 2, F.when(first, n[1]).otherwise(n[0])).when((x["of"] == 1) & ~big[0], n[0])
+        ok = (x["k"] <= 3) & (x["k"] - x["of"] <= 1)
+        return F.struct(F.when(ok, year).alias("digits"), F.when(ok, month).cast("int").alias("month"), F.when(ok, day).alias("day"), x["k"].alias("k"))
+
+    def dated(x: Column) -> Column:
+        short = x["digits"].try_cast("int") + F.floor(cy / 100) * 100
+        near = F.when(short >= cy + 50, short - 100).when(short < cy - 50, short + 100).otherwise(short)
+        year = F.when(F.length(x["digits"]) > 2, x["digits"].try_cast("int")).otherwise(near)
+        return F.struct(year.cast("int").alias("year"), x["month"].alias("month"), x["day"].alias("day"), x["k"].alias("k"))
+
+    return _let(_let(facts, decide), dated)
+
+
+def any_date(text: Column, today: Column | None = None) -> Column:
+    """The instant that a date in free form names: numbers in any usual order, English month names, times, offsets.
+
+    Three numbers are month, day, year; a first number above 12 is the day, one above 31 or of more than two digits the
+    year. Two-digit years lie within 50 years of ``today`` (the current date), which also gives missing parts; a missing
+    day beyond the month's end is its last one. Without an offset it is UTC. Names of weekdays are passed over. Null,
+    empty and other texts, and dates that don't exist, give null.
+    """
+    today = F.current_date() if today is None else today
+
+    def timed(t: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _TIME, " "), _WEEKDAYS, " "), _FILLERS, " ")
+        part = {f"p{i}": F.nullif(F.regexp_extract(t, _TIME, i), F.lit("")) for i in range(1, 10)}
+        return F.struct(*(c.alias(k) for k, c in part.items()), rest.alias("rest"))
+
+    def tokens(p: Column) -> Column:
+        named = F.substring(F.regexp_extract(p["rest"], _MONTHS, 1), 1, 3)
+        marked = F.regexp_replace(p["rest"], _MONTHS, "#")
+        name = F.when(named != "", F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), named) + 2) / 3))
+        known = F.regexp_replace(marked, r"[#\d\s.,;/'\-]", "") == ""
+        ymd = _date_parts(F.regexp_extract_all(marked, F.lit(r"(\d+|#)"), F.lit(1)), name, F.year(today))
+        return F.when(known, _let(F.struct(*(p[f"p{i}"].alias(f"p{i}") for i in range(1, 10)), ymd.alias("d")), instant))
+
+    def instant(p: Column) -> Column:
+        number = lambda i: F.coalesce(p[f"p{i}"], F.lit("0")).cast("int")
+        half, hour, date = F.coalesce(p["p5"], p["p6"]), number(1), p["d"]
+        hour = F.when(half.isNull(), hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0)).when(p["p6"].isNotNull(), hour).otherwise(99)
+        given = F.coalesce(date["year"], date["month"], date["day"]).isNotNull()
+        y, m = F.coalesce(date["year"], F.year(today)), F.coalesce(date["month"], F.month(today))
+        ends = F.dayofmonth(F.last_day(F.when(m.between(1, 12) & y.between(1, 9999), F.make_date(y, m, F.lit(1)))))
+        d = F.coalesce(date["day"], F.least(F.dayofmonth(today), ends))
+        seconds = F.concat(F.coalesce(p["p3"], F.lit("0")), F.lit("."), F.coalesce(p["p4"], F.lit("0"))).cast("decimal(16,6)")
+        real = y.between(1, 9999) & (hour < 24) & (number(2) < 60) & (seconds < 60) & (given | ((date["k"] == 0) & p["p1"].isNotNull()))
+        shift = (number(8) * 60 + number(9)).cast("long") * F.when(p["p7"] == "-", -60_000_000).otherwise(60_000_000)
+        at = F.try_make_timestamp(y, m, d, hour, number(2), seconds, F.lit("UTC"))
+        return F.when(real, F.timestamp_micros(F.unix_micros(at) - shift))
+
+    return _let(_let(_date_text(text), timed), tokens)
 
 
 def minguo_date(text: Column) -> Column:
