@@ -1,18 +1,18 @@
 """Technical indicators for every bar of every symbol, and the snapshot of each bar.
 
-Windowed indicators are native window expressions over one ``symbol`` partitioning. Recursive ones share a single
-grouped-map pass per symbol, because no built-in function carries a value from row to row.
+Windowed indicators are native window expressions over one ``symbol`` partitioning. Recursive ones share grouped-map
+passes over chunks of a symbol's bars, because no built-in function carries a value from row to row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from .windows import ewm, previous, rolling, running, series
+from . import recurrence
+from .recurrence import CHUNK
+from .windows import previous, rolling, running, series
 
 SMA = (5, 20, 60, 120, 240)
 #: Decimals of each recursive column.
@@ -39,30 +39,12 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def _recursive(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("ts")
-    c, high, low = (frame[x].to_numpy(float) for x in ("close", "high", "low"))
-    fast, slow = ewm(c, 2 / 13), ewm(c, 2 / 27)
-    macd = fast - slow
-    signal = ewm(macd, 2 / 10)
-    move = np.diff(c, prepend=np.nan)
-    gain, loss = ewm(np.where(move == move, np.maximum(move, 0), np.nan), 1 / 14, 14), ewm(np.where(move == move, np.maximum(-move, 0), np.nan), 1 / 14, 14)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = np.where(gain == gain, np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss)), np.nan)
-        top, bottom = pd.Series(high).rolling(9).max().to_numpy(), pd.Series(low).rolling(9).min().to_numpy()
-        rsv = np.where(top > bottom, (c - bottom) / (top - bottom) * 100, np.nan)
-    k = ewm(rsv, 1 / 3, 9)
-    before = np.concatenate([[np.nan], c[:-1]])
-    with np.errstate(invalid="ignore"):
-        wide = np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
-    out = {"ema12": fast, "ema26": slow, "macd": macd, "macd_signal": signal, "macd_hist": macd - signal, "rsi14": rsi, "k": k, "d": ewm(k, 1 / 3, 9), "atr14": ewm(wide, 1 / 14, 14)}
-    return frame[["symbol", "ts"]].assign(**out)
-
-
-def recursive(bars: DataFrame, digits: int | None = None) -> DataFrame:
-    """EMA, MACD, RSI, KD and ATR: symbol, ts and the columns of ``RECURSIVE``. Missing values are null."""
-    kinds = ", ".join(f"{c} double" for c in RECURSIVE)
-    found = bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(_recursive, f"symbol string, ts timestamp, {kinds}")
+def recursive(bars: DataFrame, digits: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """EMA, MACD, RSI, KD and ATR: symbol, ts and the columns of ``RECURSIVE``. Missing values are null.
+
+    Symbols of more than ``chunk`` bars are computed in several tasks, see ``recurrence``.
+    """
+    found = recurrence.values(bars, list(RECURSIVE), chunk)
     clean = {c: F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), n if digits is None else digits) for c, n in RECURSIVE.items()}
     return found.withColumns(clean)
 
