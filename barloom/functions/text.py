@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Full-width forms that fold to ASCII, one to one.
-_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-_HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+from pyspark.sql.types import StringType
 
 # Share classes that lists append after a hyphen, instruments that aren't shares, and white space.
 _CLASS_SUFFIX = r"(?i)\s*-\s*(Common Stock.*|Class [A-Z].*|Ordinary Shares.*|American Depositary Shares.*|Depositary Shares.*|Warrant.*|Unit.*|Preferred.*|Right.*)$"
@@ -20,10 +20,21 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms folded and marks composed. ASCII texts don't leave the JVM, as nothing in them changes; others
+    go through the standard's tables in Arrow batches. Null stays null."""
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
 def normal_query(text: Column) -> Column:
-    """Half-width, single-spaced, without a market prefix, upper case."""
-    half = compact(F.translate(text, _FULL, _HALF))
-    return F.upper(F.trim(F.regexp_replace(half, r"^(TW|US):", "")))
+    """Compatibility forms folded, single-spaced, without market prefixes, upper case."""
+    return F.upper(F.trim(F.regexp_replace(compact(nfkc(text)), r"^(TW:)?(US:)?", "")))
 
 
 def record_id(url: Column, headline: Column, published: Column) -> Column:

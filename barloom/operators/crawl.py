@@ -45,3 +45,15 @@ def ticker_news(news: DataFrame, ticker: str, most: int = 20) -> DataFrame:
     """News of a ticker whatever its market suffix, newest first."""
     root = ticker.upper().split(".")[0]
     return news.where(F.split(F.upper("ticker"), r"\.").getItem(0) == root).orderBy(F.desc("published_at"), "id").limit(most)
+
+
+def newest_news(news: DataFrame, most: int = 20) -> DataFrame:
+    """The newest news of every ticker, market suffixes aside, with their place; null dates are the oldest, ties go to the
+    smaller id.
+
+    Spark cuts each task's rows to ``most`` a ticker before they are shuffled (up to 1,000, the default of
+    spark.sql.optimizer.windowGroupLimitThreshold), so a ticker with most of the news sends no more than others.
+    """
+    root = F.split(F.upper("ticker"), r"\.").getItem(0)
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc_nulls_last("published_at"), "id"))
+    return news.withColumn("root", root).withColumn("place", place).where(F.col("place") <= most)
