@@ -46,3 +46,27 @@ def compare(bars: DataFrame, symbols: list[str], interval: str = "1d") -> DataFr
     mine = bars.where(F.col("symbol").isin(symbols[:4]))
     path = risk.rebased(mine).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("series"))
     return risk.ranking(risk.risk_metrics(mine, interval)).join(path, "symbol", "left")
+
+
+def compare_requests(requests: DataFrame, bars: DataFrame, interval: str = "1d", most: int = 4) -> DataFrame:
+    """Comparisons asked for as text (request, tickers): the first ``most`` tickers between commas of either width.
+
+    One row a request: status, count of tickers with bars, the best by total return (ties to the one named first), each
+    one's return and last close in the order asked, and the tickers that failed. Null and blank requests and those whose
+    tickers all fail have the status error. A ticker named twice counts twice. Symbols' figures are computed once for all
+    requests.
+    """
+    names = F.filter(F.transform(F.split(F.coalesce("tickers", F.lit("")), "[,\uff0c]"), lambda x: F.trim(x)), lambda x: x != "")
+    asked = requests.select("request", F.posexplode_outer(F.slice(names, 1, most)).alias("pos", "ticker"))
+    figures = risk.risk_metrics(bars, interval).select("symbol", "total_return_pct")
+    last = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("latest_price"))
+    known = last.join(figures, "symbol", "left").withColumnRenamed("symbol", "ticker").withColumn("found", F.lit(True))
+    rows = asked.join(known, "ticker", "left")
+    entry = F.struct("pos", "ticker", "total_return_pct", "latest_price")
+    nested = rows.groupBy("request").agg(
+        F.count("found").alias("count"),
+        F.max_by("ticker", F.when(F.col("total_return_pct").isNotNull(), F.struct("total_return_pct", -F.col("pos")))).alias("best"),
+        F.array_sort(F.collect_list(F.when(F.col("found"), entry))).alias("series"),
+        F.array_sort(F.collect_list(F.when(F.col("found").isNull() & F.col("ticker").isNotNull(), F.struct("pos", "ticker")))).alias("lost"),
+    )
+    return nested.select("request", F.when(F.col("count") > 0, "success").otherwise("error").alias("status"), "count", "best", "series", F.col("lost.ticker").alias("failed"))
