@@ -173,7 +173,7 @@ def distribution(df: DataFrame, *by: str, name: str = "sentiment_label") -> Data
 def arm_report(scored: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
     """Records, errors and labels per arm, and records per second where ``seconds`` (arm, seconds) is given."""
     r = scored.groupBy("arm").agg(F.count("*").alias("records"), F.count_if(F.col("sentiment_label").isNull()).alias("errors"), *(F.count_if(F.col("sentiment_label") == k).alias(k) for k in LABEL_IDS))
-    return r if seconds is None else r.join(F.broadcast(seconds), "arm", "left").withColumn("records_per_second", F.col("records") / F.greatest("seconds", F.lit(1e-9)))
+    return r if seconds is None else r.join(seconds, "arm", "left").withColumn("records_per_second", F.col("records") / F.greatest("seconds", F.lit(1e-9)))
 
 
 def daily_rollup(runs: DataFrame) -> DataFrame:
