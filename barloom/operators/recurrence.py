@@ -39,7 +39,7 @@ def chunked(bars: DataFrame, size: int) -> DataFrame:
     hours = rows.groupBy("symbol", "hour").agg(F.count("*").alias("n")).withColumn("chunk", F.floor(F.coalesce(before, F.lit(0)) / size))
     cuts = hours.withColumn("_last", F.max("chunk").over(Window.partitionBy("symbol"))).where("_last > 0")
     cuts = cuts.select(F.col("symbol").alias("_symbol"), F.col("hour").alias("_hour"), "chunk")
-    joined = rows.join(cuts, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("hour").eqNullSafe(F.col("_hour")), "left")  # null-safe, so that all passes share one exchange
+    joined = rows.join(cuts, F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("hour").eqNullSafe(F.col("_hour")), "left")  # null-safe, so that no pass filters the bars and exchanges can be reused
     return joined.select("symbol", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.col("chunk").isNotNull().alias("long"), "ts", "high", "low", "close")
 
 
