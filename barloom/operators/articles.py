@@ -9,6 +9,7 @@ smallest body; sources that repeat a name give their rows' pages each; empty tab
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,10 +37,10 @@ def extract_mode(raw: Column) -> Column:
     return out
 
 
-def _article(key: int, html: str | None, title: str, time: str, content: str) -> Iterator[tuple]:
+def _article(key: int, html: str | None, title: str, time: str, content: str, bare: bool = True) -> Iterator[tuple]:
     if html is None:
         return
-    titles, times, contents, og = selectors.elements(html, [title, time, content, "meta[property='og:title']"])
+    titles, times, contents, og = selectors.elements(html, [title, time, content, "meta[property='og:title']"], bare)
     head = titles[0][1] if titles else ""
     if head in ("", "...") and og and "content" in og[0][0]:
         head = " ".join(og[0][0]["content"].split())
@@ -50,14 +51,14 @@ def _article(key: int, html: str | None, title: str, time: str, content: str) ->
     yield key, head, at, " ".join(" ".join(t for _, t in contents).split())
 
 
-def article_fields(pages: DataFrame, key: str = "key") -> DataFrame:
+def article_fields(pages: DataFrame, key: str = "key", bare: bool = True) -> DataFrame:
     """``key`` (long), title, time text and content of pages with columns html, title_selector, time_selector, content_selector.
 
     The title falls back on the page's og:title where it is empty or "...", the time is the element's datetime attribute
-    or its text. Rows whose html is null have no row.
+    or its text. Rows whose html is null have no row. Not ``bare``: character references without a semicolon stay text.
     """
     needed = [key, "html", "title_selector", "time_selector", "content_selector"]
-    return selectors.map_pages(pages, needed, f"{key} long, title string, time_text string, content string", _article)
+    return selectors.map_pages(pages, needed, f"{key} long, title string, time_text string, content string", functools.partial(_article, bare=bare))
 
 
 def _anchors(source: str, url: str, base: str | None, html: str | None, selector: str) -> Iterator[tuple]:
@@ -85,14 +86,14 @@ def _one_each(fetched: DataFrame, name: str) -> DataFrame:
     return fetched.where("url is not null and body is not null and body <> ''").groupBy(F.col("url").alias("_url")).agg(F.min("body").alias(name))
 
 
-def cascade(requests: DataFrame, remote: dict[str, DataFrame], pages: DataFrame, least: int = LEAST) -> DataFrame:
+def cascade(requests: DataFrame, remote: dict[str, DataFrame], pages: DataFrame, least: int = LEAST, bare: bool = True) -> DataFrame:
     """``requests`` with title, time_text, content and strategy: the first extraction that gives ``least`` characters.
 
     Requests have url, content_extract_mode, content_extract_fallback and the three selectors. Rounds go through the
     services of ``remote`` (name to a table of url and markdown body) that the mode allows; each round joins only rows that
     no earlier one has answered: answered rows carry a key that no page has, spread like the addresses. What is left goes
     to the html of ``pages`` (url, body), if the mode is html or falls back; only those rows' html goes to Python. Rows without an
-    answer have empty title and content, and a null strategy.
+    answer have empty title and content, and a null strategy. ``bare`` is as in ``article_fields``.
     """
     mode = extract_mode(F.col("content_extract_mode"))
     rows = requests.withColumns({"_mode": mode, "_done": F.lit(None).cast("string"), "title": F.lit(""), "content": F.lit("")})
@@ -120,7 +121,7 @@ def cascade(requests: DataFrame, remote: dict[str, DataFrame], pages: DataFrame,
             times: list[str | None] = [None] * batch.num_rows
             for i in range(batch.num_rows):
                 if html[i].is_valid:
-                    for _, title, time, content in _article(i, html[i].as_py(), *(got[c][i] for c in ("title_selector", "time_selector", "content_selector"))):
+                    for _, title, time, content in _article(i, html[i].as_py(), *(got[c][i] for c in ("title_selector", "time_selector", "content_selector")), bare):
                         got["title"][i], times[i], got["content"][i], got["_done"][i] = title, time, content, "html"
             for c in ("title", "content", "_done"):
                 columns[at[c]] = pa.array(got[c], pa.string())
@@ -130,14 +131,15 @@ def cascade(requests: DataFrame, remote: dict[str, DataFrame], pages: DataFrame,
     return out.withColumnRenamed("_done", "strategy").drop("_mode")
 
 
-def crawl(items: DataFrame, sources: DataFrame, remote: dict[str, DataFrame], pages: DataFrame, least: int = LEAST) -> DataFrame:
+def crawl(items: DataFrame, sources: DataFrame, remote: dict[str, DataFrame], pages: DataFrame, least: int = LEAST, bare: bool = True) -> DataFrame:
     """Records of followed links with their status: kept, filtered, deduped or error.
 
     ``items`` are links of list pages or feeds: source, link, n, and for feeds title, description and published_at (null
     where there are none). ``sources`` have the columns of ``read_sources``; n within max_items counts. Links go if a source's
     patterns don't allow them; the others are extracted by ``cascade`` where the source is no feed, or is one that asks for
     it. A page without content is an error, for feeds as well, though their description stands in. Then come the rules on
-    titles, length and keywords, and each id stays once, where it comes first by order of sources and place.
+    titles, length and keywords, and each id stays once, where it comes first by order of sources and place. ``bare`` is as
+    in ``article_fields``.
     """
     wants = F.when(F.col("type") == "rss", F.col("rss_use_article_content") | (extract_mode(F.col("content_extract_mode")) != "html")).otherwise(F.lit(True))
     settings = sources.select(F.col("name").alias("source"), "type", "max_items", "article_link_include", "article_link_exclude", "ticker_keywords", "content_extract_mode", "content_extract_fallback", "title_selector", "time_selector", "content_selector", wants.alias("_wants"))
@@ -146,7 +148,7 @@ def crawl(items: DataFrame, sources: DataFrame, remote: dict[str, DataFrame], pa
     allowed = F.coalesce((F.size(F.coalesce("article_link_include", F.array().cast("array<string>"))) == 0) | some(F.col("article_link_include")), F.lit(True)) & ~some(F.col("article_link_exclude"))
     rows = rows.withColumn("_allowed", F.coalesce(allowed, F.lit(False)))
     asked = rows.withColumns({"_url": F.col("url"), "url": F.when(F.col("_allowed") & F.col("_wants"), F.col("url"))}).withColumnRenamed("_url", "address")
-    got = cascade(asked, remote, pages, least)
+    got = cascade(asked, remote, pages, least, bare)
     feed, found = F.col("type") == "rss", F.col("content") != ""
     title = F.when(feed, F.when(found & (F.col("title") != ""), F.col("title")).otherwise(F.coalesce("_title", F.lit("")))).otherwise(F.col("title"))
     content = F.when(feed & ~found, F.coalesce("_description", F.lit(""))).otherwise(F.col("content"))

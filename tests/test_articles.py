@@ -161,3 +161,31 @@ def test_links_in_page_order_once(spark):
     lists = spark.createDataFrame([("s", "http://h/b/", None, '<a href="x">1</a><a href="./x">2</a><a>3</a><a href="">4</a><a href="/y">5</a>', "a", 2), ("s", "http://h/a", None, '<a href="b/x">0</a><a href="z">9</a>', "a", 2), ("t", "http://h/a", "http://base/p/", '<div class=k><a href="q">1</a></div><a href="r">2</a>', "div.k a", 5), ("e", "http://h", None, None, "a", 5)], "source string, url string, base_url string, html string, article_link_selector string, max_items int")
     got = sorted((r["source"], r["n"], r["link"]) for r in articles.list_links(lists).collect())
     assert got == [("s", 1, "http://h/b/x"), ("s", 2, "http://h/z"), ("t", 1, "http://base/p/q")]
+
+
+def same_as_sql(spark, tmp_path, name):
+    """Rows of a registered query and of its SQL over pages whose titles are cut inside a reference."""
+    import duckdb
+
+    import __spark_entry__ as registry
+
+    cut = ["&a", "&am", "&amp", "&quo", "&quot", "&amp;", "&amp;&amp", "&copy;"]
+    html = "<head><title>T{0} x{1}</title></head><body><article><h1>T{0} x{1}</h1><p>the thing is long enough to be kept {1}</p></article><footer>f {1}</footer></body>"
+    rows = [(i, f"https://h{i % 3}.example/{i}", html.format(i, cut[i % len(cut)])) for i in range(48)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        want = db.execute(registry.oracle_sql()[name]).fetchall()
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert len(want) > 20 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_article_fields_of_cut_references_are_as_in_sql(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "article_fields")
+
+
+def test_references_without_a_semicolon_are_read_as_html_has_them_unless_told_otherwise():
+    html = '<p title="a&ampb">x &amp y &lt; &#65; &nosuch; &copy</p>'
+    read = lambda bare: [(have["title"], text) for have, text in selectors.elements(html, ["p"], bare)[0]]
+    assert read(True)[0][1] == "x & y < A &nosuch; ©"
+    assert read(False) == [("a&ampb", "x &amp y < A &nosuch; &copy")]
