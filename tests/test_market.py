@@ -203,3 +203,22 @@ def test_band_of_one_walk_forward_run(spark):
 def test_band_without_walk_forward_run(spark):
     row = forecast.forecast(make(spark, trend(33))).first()
     assert row["upper"][-1] / row["ensemble"][-1] - 1 == pytest.approx(0.05 * 1.2816, abs=3e-4) and row["accuracy_pct"] == 50.0
+
+
+@pytest.mark.parametrize("name", ["sectors_top10", "holdings_scale"])
+def test_weights_between_two_decimals_are_ranked_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as registry
+
+    revenue = {"A": 1000.0, "B": 1005.0, "C": 1004.0, "D": 8575.0, "E": 28.5, "F": 29.0, "G": 4350.0, "H": 84008.5}
+    lines = [(i, 10 * fund + i, fund, rev) for fund in (1, 2) for i, rev in enumerate(revenue.values())]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10 * fund + i, brand) for fund in (1, 2) for i, brand in enumerate(revenue)], "p_partkey long, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (2, 2)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as db:
+        for table in ("lineitem", "part", "supplier"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        want = db.execute(registry.oracle_sql()[name]).fetchall()
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert len(want) == 2 * len(revenue) and sorted(map(tuple, got)) == sorted(want)
