@@ -18,6 +18,7 @@ item that came first; an empty table gives an empty result; columns other than d
 from __future__ import annotations
 
 import functools
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -62,6 +63,7 @@ class ChunkEncoder:
     def __init__(self, path: str, block: int = 1 << 20):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would spin on the others'
         self.tokenizer, self.block = Tokenizer.from_file(path), block
         self.known, self.late = {"": b""}, {}
         names = self.tokenizer.get_vocab()

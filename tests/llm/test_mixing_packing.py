@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 
@@ -182,3 +183,12 @@ def test_conversations_keep_tokens_turns_and_loss(spark):
             bins[r["bin_id"]] += [r["tokens"], r["turns"], r["loss_tokens"]]
     assert all((b <= [2048, 16, 1536]).all() for b in bins.values())
     assert packing.pack_conversations(turns.limit(0)).count() == 0
+
+
+def test_encoding_stays_on_the_core_of_its_task():
+    import subprocess
+    import sys
+
+    code = "import os; os.environ.pop('TOKENIZERS_PARALLELISM', None); from barloom.llm import packing; packing.ChunkEncoder(packing.vocabulary_path()).encode(' '.join(f'a{i}$$ b{i}%%' for i in range(20000))); print(len(os.listdir('/proc/self/task')))"
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path), "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"})
+    assert int(run.stdout) <= 2
