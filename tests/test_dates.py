@@ -47,3 +47,8 @@ def test_ways_of_writing(spark):
 def test_odd_texts(spark):
     wrong = [(x, a, shown(plainly(x))) for x, a in zip(ODD, parsed(spark, ODD)) if a != shown(plainly(x))]
     assert not wrong, wrong
+
+
+def test_times_are_searched_once_a_text(spark):
+    plan = spark.range(1).select(dates.any_date(F.col("id").cast("string"), F.lit(TODAY)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(dates._TIME) == 1
