@@ -119,3 +119,11 @@ def test_empty_queries_show_the_quick_picks(spark):
     found = symbols.search(spark.createDataFrame([("",), (None,), ("zz",)], "query string"), spark.createDataFrame(rows, kinds), kind="stock").collect()
     by = lambda q: [r["code"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q]
     assert by("") == by(None) == ["2330", "SPY"] and by("zz") == ["ZZ"]
+
+
+def test_lexicon_scoring_holds_one_text_at_a_time(spark):
+    from barloom.operators import sentiment
+
+    scored = sentiment.with_lexicon(spark.createDataFrame([(1, "bullish surge"), (2, None), (3, "plunge"), (4, "")], "id int, text string"), "text")
+    assert "[pythonUDF0#" in (plan := scored._jdf.queryExecution().executedPlan().toString()) and "], 250\n" in plan  # Arrow, not pandas
+    assert [r["lexicon_label"] for r in scored.orderBy("id").collect()] == ["positive", "neutral", "negative", "neutral"]
