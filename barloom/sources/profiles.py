@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import epoch_or_date
+from ..functions.dates import _let, epoch_or_date
 from ..functions.numbers import safe
 from ..operators.actions import currency
 from ..operators.symbols import first_wins, quote_kind
@@ -114,16 +114,18 @@ def top_holdings(json: Column) -> Column:
     raw = F.transform(F.slice(F.filter(rows, lambda r: r.isNotNull()), 1, MOST), lambda r: F.struct(F.coalesce(first(r, HOLDING_SYMBOL), r["key"], F.lit("")).alias("s"), first(r, HOLDING_NAME).alias("n"), safe(first(r, HOLDING_WEIGHT)).alias("w")))
     named = F.transform(raw, lambda h: F.struct(F.trim(h["s"]).alias("s"), F.trim(F.coalesce(F.nullif(h["n"], F.lit("")), h["s"])).alias("n"), h["w"].alias("w")))
     kept = F.filter(named, lambda h: h["n"] != "")
-    scale = _scale(F.transform(kept, lambda h: h["w"]))
-    return F.coalesce(F.transform(kept, lambda h: F.struct(h["s"].alias("symbol"), h["n"].alias("name"), F.round(h["w"] * scale, 2).alias("weight_pct"))), F.from_json(F.lit("[]"), "array<struct<symbol:string,name:string,weight_pct:double>>"))
+    percent = lambda k, scale: F.transform(k, lambda h: F.struct(h["s"].alias("symbol"), h["n"].alias("name"), F.round(h["w"] * scale, 2).alias("weight_pct")))
+    scaled = _let(kept, lambda k: _let(_scale(F.transform(k, lambda h: h["w"])), lambda scale: percent(k, scale)))  # else each holding would parse the list anew
+    return F.coalesce(scaled, F.from_json(F.lit("[]"), "array<struct<symbol:string,name:string,weight_pct:double>>"))
 
 
 def sector_weightings(json: Column) -> Column:
     """The ten largest sectors (sector, weight_pct) of a JSON object; weights that aren't numbers are left out."""
     pairs = F.transform(F.map_entries(F.from_json(json, "map<string,string>")), lambda e, i: F.struct((-F.abs(safe(e["value"]))).alias("o"), i.alias("i"), e["key"].alias("k"), safe(e["value"]).alias("w")))
     known = F.array_sort(F.filter(pairs, lambda p: p["w"].isNotNull()))
-    scale = _scale(F.transform(known, lambda p: p["w"]))
-    return F.coalesce(F.transform(F.slice(known, 1, MOST), lambda p: F.struct(p["k"].alias("sector"), F.round(p["w"] * scale, 2).alias("weight_pct"))), F.from_json(F.lit("[]"), "array<struct<sector:string,weight_pct:double>>"))
+    percent = lambda k, scale: F.transform(F.slice(k, 1, MOST), lambda p: F.struct(p["k"].alias("sector"), F.round(p["w"] * scale, 2).alias("weight_pct")))
+    scaled = _let(known, lambda k: _let(_scale(F.transform(k, lambda p: p["w"])), lambda scale: percent(k, scale)))
+    return F.coalesce(scaled, F.from_json(F.lit("[]"), "array<struct<sector:string,weight_pct:double>>"))
 
 
 def issuer_reference(symbol: Column, name: Column, kind: Column) -> Column:

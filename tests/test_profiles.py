@@ -88,3 +88,9 @@ def test_source_settings_for_a_run(spark, tmp_path):
 
 def test_words_in_addresses(spark):
     assert spark.createDataFrame([("a b&~*/+",)], "q string").select(text.encoded(F.col("q")).alias("q")).first()["q"] == "a%20b%26~%2A/%2B"
+
+
+def test_holdings_are_parsed_once(spark):
+    column = profiles.top_holdings(F.concat(F.lit("once"), "h")).alias("x")
+    plan = spark.createDataFrame([("[]",)], "h string").select(column)._jdf.queryExecution().analyzed().expressions().head().sql()
+    assert plan.count("'once'") <= 3  # as a list, as an object, and to see which
