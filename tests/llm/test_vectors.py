@@ -182,3 +182,34 @@ def test_repeated_ids_and_null_ids(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_results_do_not_depend_on_a_size_that_switches(spark):
+    dice = np.random.default_rng(8)
+    x = dice.standard_normal((4000, 64))
+    x[3940:] = x[:60] + 0.2 * dice.standard_normal((60, 64))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    below, above = (sorted(map(tuple, embed_dedup.dedup_embeddings(frame, passes=1, window=64, exact=size).collect())) for size in (100, 16_384))
+    assert below == above
+
+
+def test_pairs_met_in_several_passes_and_tiles_count_once(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    dice = np.random.default_rng(14)
+    x = dice.standard_normal((1200, 16))
+    x[600:1000] = x[:400] + 0.22 * dice.standard_normal((400, 16))
+    x[1000:] = x[7] + 0.1 * dice.standard_normal((200, 16))  # a dense group, wider than the window
+    rows = [(i, v.tolist(), i % 600 % 2 if i < 1000 else 1) for i, v in enumerate(x.astype(np.float32))]
+    want, frame = brute_links(rows), spark.createDataFrame(rows, VECTORS)
+    for passes, window in ((40, 240), (1, 1200)):
+        found = embed_dedup.dedup_embeddings(frame, passes=passes, window=window)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == want
+
+
+def test_a_dense_label_gets_a_reach_that_spans_it():
+    dice = np.random.default_rng(15)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit(dice.standard_normal((1, 64)) + 0.05 * dice.standard_normal((16_384, 64)))
+    assert embed_dedup.plan(near, 100_000) == (1, 100_000)
+    passes, reach = embed_dedup.plan(unit(dice.standard_normal((16_384, 64))), 1_000_000)
+    assert passes > 1 and reach < 100_000
