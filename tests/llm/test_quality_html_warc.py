@@ -36,6 +36,43 @@ def test_pairs_learn_the_direction_and_the_quantile():
     assert abs((model.score(x) < quality.CUT).mean() - 0.75) < 0.02
 
 
+def test_the_fit_is_a_minimum_over_all_pairs():
+    dice = np.random.default_rng(1)
+    x, y = dice.standard_normal((60, quality.WIDTH)), np.arange(60) % 3 == 0
+    model = quality.fit(x, y.astype(int))
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    d = (z[y][:, None, :] - z[~y][None, :, :]).reshape(-1, quality.WIDTH)
+    slope = quality.RIDGE * model.weights - (d / (1 + np.exp(d @ model.weights))[:, None]).mean(axis=0)
+    assert np.abs(slope).max() < 1e-4
+
+
+def test_every_labelled_row_trains(spark):
+    ids = spark.range(27_000).withColumnRenamed("id", "doc_id")
+    order = ids.where(~quality.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()["doc_id"].to_numpy()
+    good = set(order[20_000:].tolist())  # none of them among the rows with the smallest hashes
+    assert len(good) > 1000
+    rows = [(d, "Whole words stand here." if d in good else "ab $# 12 ||", int(d in good)) for d in order.tolist()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs = frame.select("doc_id", "text")
+    model = quality.train(frame.select("doc_id", "quality"), docs)
+    scored = quality.score_documents(docs, model).where("doc_id % 50 = 0").collect()
+    assert all((r["score"] >= quality.CUT) == (r["doc_id"] in good) for r in scored)
+
+
+def test_groups_on_spark_fit_as_one_in_memory(spark, monkeypatch):
+    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    labels = spark.createDataFrame([(d, int(d % 7 == 0)) for d in range(60)], "doc_id long, quality int")
+    used = docs.join(labels, "doc_id").where(~quality.held_out()).orderBy("doc_id").toPandas()
+    want = quality.fit(np.stack([quality.features(t or "") for t in used["text"]]), used["quality"].to_numpy())
+    found = quality.train(labels, docs)
+    for name in ("mean", "scale", "weights", "threshold", "slope"):
+        np.testing.assert_allclose(getattr(found, name), getattr(want, name), rtol=1e-3, atol=1e-5)
+    monkeypatch.setattr(quality, "GROUP", 8)  # several groups: the rarer label joins each of them
+    again = [quality.train(labels, rows) for rows in (docs, docs.repartition(7))]
+    assert (again[0].weights == again[1].weights).all() and again[0].threshold == again[1].threshold
+    assert again[0].weights @ want.weights > 0.9 * np.linalg.norm(again[0].weights) * np.linalg.norm(want.weights)
+
+
 def test_scores_of_odd_texts_and_without_labels(spark):
     docs = clashing(documents(spark))
     none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
