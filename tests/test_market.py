@@ -183,6 +183,18 @@ def test_insight_composes(spark):
     assert [r["symbol"] for r in insight.compare(b, ["A", "B"]).orderBy("rank").collect()] == ["A", "B"]
 
 
+def test_insight_computes_its_bars_once(spark):
+    b, read = make(spark, trend(), "A"), spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    assert len(insight.insight(b.mapInPandas(seen, b.schema)).collect()) == 1
+    assert read.value == b.count()
+
+
 @pytest.mark.parametrize("back", [1, 5])
 def test_previous_skips_nulls(spark, back):
     rng = np.random.default_rng(3)
